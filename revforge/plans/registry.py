@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import oracle_prep, oracle_text, prep, text
+from . import evaluate, oracle_evaluate, oracle_prep, oracle_text, prep, text
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,8 +24,8 @@ def all_oracle_sql() -> dict[str, str]:
 
 
 def _modules():
-    return [prep, text]
+    return [prep, text, evaluate]
 
 
 def _oracle_modules():
-    return [oracle_prep, oracle_text]
+    return [oracle_prep, oracle_text, oracle_evaluate]
