@@ -109,6 +109,26 @@ def samples_avg(df: DataFrame, truth: str, pred: str, by: list[str] | None = Non
                                  F.avg(_ratio(2 * b, t + p)).alias("samples_f1"))
 
 
+def samples_avg_long(df: DataFrame, row: str, truth: str, pred: str, by: list[str] | None = None) -> DataFrame:
+    """A11 on a long table (one row per (row, flag)): per-row sums by a grouped aggregate first."""
+    by = by or []
+    per_row = df.groupBy(*by, row).agg(F.sum(F.col(truth) * F.col(pred)).alias("b"),
+                                       F.sum(truth).alias("t"), F.sum(pred).alias("p"))
+    b, t, p = F.col("b"), F.col("t"), F.col("p")
+    return per_row.groupBy(*by).agg(F.avg(_ratio(b, p)).alias("samples_precision"),
+                                    F.avg(_ratio(b, t)).alias("samples_recall"),
+                                    F.avg(_ratio(2 * b, t + p)).alias("samples_f1"))
+
+
+def pooled_flag_counts(df: DataFrame, truth: str, pred: str, by: list[str] | None = None) -> DataFrame:
+    """tp / fp / fn pooled over every (row, flag) pair of a long table."""
+    by = by or []
+    t, p = F.col(truth), F.col(pred)
+    return df.groupBy(*by).agg(F.sum(((t == 1) & (p == 1)).cast("long")).alias("tp"),
+                               F.sum(((t == 0) & (p == 1)).cast("long")).alias("fp"),
+                               F.sum(((t == 1) & (p == 0)).cast("long")).alias("fn"))
+
+
 def best_by(scores: DataFrame, metric: str, key: str = "fold") -> DataFrame:
     """The first key with a strictly greater score, starting from 0 (no row if all are 0)."""
     return scores.filter(F.col(metric) > 0).orderBy(F.col(metric).desc(), F.col(key).asc()).limit(1)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import materialize
 
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row index in the low 33 bits
 
@@ -26,16 +26,14 @@ def ordered_index(df: DataFrame, order: list[Column | str], name: str = "pos",
     """Add ``name``: the 1-based position of each row under ``order`` (which must be a total order).
 
     Runs as: range shuffle on the order -> local sort -> positional id -> checkpoint (the ids are
-    positional, so the numbered table is written once and reused) -> broadcast join of the
+    positional, so the numbered table is written once as Parquet and reused) -> broadcast join of the
     per-partition offsets.
     """
-    ensure_checkpoint_dir(df.sparkSession)
     n = _target_partitions(df, num_partitions)
-    numbered = (
+    numbered = materialize(
         df.repartitionByRange(n, *order)
         .sortWithinPartitions(*order)
         .withColumn("_mono", F.monotonically_increasing_id())
-        .checkpoint(eager=True)
     )
     part = F.shiftright(F.col("_mono"), _LOCAL_BITS)
     local = F.col("_mono").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))

@@ -16,45 +16,55 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import SEED, TEST_SHARE
 from ..functions.hashing import hash_key
+from .joins import checked_broadcast
 from .ordering import ordered_index, rank_within
 
+MAX_ALLOCATION_ROWS = 1_000_000
+
 
 def _share(share: float) -> tuple[int, int]:
     f = Fraction(share).limit_denominator(1_000_000)
     return f.numerator, f.denominator
 
 
-def class_allocation(df: DataFrame, label: str, test_share: float = TEST_SHARE) -> DataFrame:
-    """``label, n_class, n_train_class``: train rows per class, shares kept exactly.
+def class_allocation(df: DataFrame, label: str, test_share: float = TEST_SHARE,
+                     groups: list[str] | None = None) -> DataFrame:
+    """``[groups..], label, n_class, n_train_class``: train rows per class, shares kept exactly.
 
     n_test = ceil(n * share); per class floor(n_c * n_train / n), the left-over rows going to the
-    largest remainders (ties by label). Integer arithmetic only.
+    largest remainders (ties by label). Integer arithmetic only; the table has one row per
+    (group, class), so its windows are small.
     """
+    groups = groups or []
     num, den = _share(test_share)
-    cls = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_class"))
-    everything = Window.partitionBy()
+    cls = df.groupBy(*groups, label).agg(F.count(F.lit(1)).alias("n_class"))
+    everything = Window.partitionBy(*groups)
     cls = cls.withColumn("_n", F.sum("n_class").over(everything))
     cls = cls.withColumn("_ntrain", F.col("_n") - F.expr(f"(_n * {num} + {den - 1}) div {den}"))
     cls = cls.withColumn("_fl", F.expr("(n_class * _ntrain) div _n")).withColumn(
         "_rem", F.expr("(n_class * _ntrain) % _n"))
     cls = cls.withColumn("_left", F.col("_ntrain") - F.sum("_fl").over(everything))
-    cls = cls.withColumn("_rr", F.row_number().over(Window.orderBy(F.col("_rem").desc(), F.col(label))))
+    cls = cls.withColumn("_rr", F.row_number().over(
+        Window.partitionBy(*groups).orderBy(F.col("_rem").desc(), F.col(label))))
     return cls.select(
-        label, "n_class",
+        *groups, label, "n_class",
         (F.col("_fl") + F.when(F.col("_rr") <= F.col("_left"), 1).otherwise(0)).cast("long").alias("n_train_class"))
 
 
 def split_stratified(df: DataFrame, label: str = "label", key: str = "row_id", test_share: float = TEST_SHARE,
-                     seed: int = SEED) -> DataFrame:
-    """Add ``split`` = train/test with class shares kept."""
-    alloc = class_allocation(df, label, test_share)
-    ranked = rank_within(df.withColumn("_h", hash_key(seed, key)), [label], [F.col("_h"), F.col(key)],
-                         name="_r")
-    # one row per class: the allocation is tiny and joined by label
-    j = ranked.join(F.broadcast(alloc.select(F.col(label).alias("_lab"), "n_train_class")),
-                    F.col(label).eqNullSafe(F.col("_lab")))
+                     seed: int = SEED, groups: list[str] | None = None) -> DataFrame:
+    """Add ``split`` = train/test with class shares kept (per group when ``groups`` is given)."""
+    groups = groups or []
+    keys = groups + [label]
+    alloc = class_allocation(df, label, test_share, groups)
+    ranked = rank_within(df.withColumn("_h", hash_key(seed, key)), keys, [F.col("_h"), F.col(key)], name="_r")
+    alloc = alloc.select(*[F.col(k).alias(f"_a{i}") for i, k in enumerate(keys)], "n_train_class")
+    cond = [F.col(k).eqNullSafe(F.col(f"_a{i}")) for i, k in enumerate(keys)]
+    # one row per (group, class): broadcast behind a size check
+    j = ranked.join(checked_broadcast(alloc, MAX_ALLOCATION_ROWS), cond)
     return j.withColumn("split", F.when(F.col("_r") <= F.col("n_train_class"), F.lit("train"))
-                        .otherwise(F.lit("test"))).drop("_h", "_r", "_lab", "n_train_class")
+                        .otherwise(F.lit("test"))).drop("_h", "_r", "n_train_class",
+                                                        *[f"_a{i}" for i in range(len(keys))])
 
 
 def split_random(df: DataFrame, key: str = "row_id", test_share: float = TEST_SHARE, seed: int = SEED) -> DataFrame:
@@ -67,16 +77,19 @@ def split_random(df: DataFrame, key: str = "row_id", test_share: float = TEST_SH
                           .otherwise(F.lit("test"))).drop("_h", "_p")
 
 
-def folds_stratified(df: DataFrame, k: int, label: str = "label", key: str = "row_id", seed: int = SEED) -> DataFrame:
-    """``fold`` = (position in (label, hash) order - 1) mod k: every class spread evenly."""
-    pos = ordered_index(df.withColumn("_h", hash_key(seed, key)), [F.col(label), F.col("_h"), F.col(key)],
-                        name="_p")
+def folds_stratified(df: DataFrame, k: int, label: str = "label", key: str = "row_id", seed: int = SEED,
+                     groups: list[str] | None = None) -> DataFrame:
+    """``fold`` = (position in ([groups], label, hash) order - 1) mod k: every class spread evenly."""
+    order = [F.col(g) for g in (groups or [])] + [F.col(label), F.col("_h"), F.col(key)]
+    pos = ordered_index(df.withColumn("_h", hash_key(seed, key)), order, name="_p")
     return pos.withColumn("fold", F.pmod(F.col("_p") - 1, F.lit(k)).cast("int")).drop("_h", "_p")
 
 
-def folds_random(df: DataFrame, k: int, key: str = "row_id", seed: int = SEED) -> DataFrame:
+def folds_random(df: DataFrame, k: int, key: str = "row_id", seed: int = SEED,
+                 groups: list[str] | None = None) -> DataFrame:
     """Shuffled folds of sizes within one of each other."""
-    pos = ordered_index(df.withColumn("_h", hash_key(seed, key)), [F.col("_h"), F.col(key)], name="_p")
+    order = [F.col(g) for g in (groups or [])] + [F.col("_h"), F.col(key)]
+    pos = ordered_index(df.withColumn("_h", hash_key(seed, key)), order, name="_p")
     return pos.withColumn("fold", F.pmod(F.col("_p") - 1, F.lit(k)).cast("int")).drop("_h", "_p")
 
 

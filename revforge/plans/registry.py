@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import evaluate, logs, oracle_evaluate, oracle_logs, oracle_prep, oracle_text, prep, text
+from . import evaluate, logs, models, oracle_evaluate, oracle_logs, oracle_models, oracle_prep, oracle_text, prep, text
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,8 +24,8 @@ def all_oracle_sql() -> dict[str, str]:
 
 
 def _modules():
-    return [prep, text, evaluate, logs]
+    return [prep, text, evaluate, logs, models]
 
 
 def _oracle_modules():
-    return [oracle_prep, oracle_text, oracle_evaluate, oracle_logs]
+    return [oracle_prep, oracle_text, oracle_evaluate, oracle_logs, oracle_models]

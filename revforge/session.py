@@ -55,3 +55,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="revforge-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def materialize(df):
+    """Write ``df`` once as Parquet under the checkpoint folder and return the scan of it.
+
+    This cuts the lineage (a lost executor re-reads the files instead of recomputing the plan) and,
+    unlike an eager RDD checkpoint, computes the plan exactly once.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/revforge-table-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
