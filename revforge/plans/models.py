@@ -161,7 +161,69 @@ def q_run_matrix(spark, root):
                                 "accuracy", "macro_f1"))
 
 
+def _ml_pairs(spark: SparkSession, root: str) -> DataFrame:
+    """Pair target with token arrays, split and folds (the same folds as the naive Bayes path)."""
+    from ..functions.text import clean_ascii, word_tokens
+    p = filter_present(bindings.pair_class_reviews(spark, root))
+    p = labels.label_apply(p, labels.label_fit(p))
+    p = p.withColumn("tokens", F.transform(word_tokens(clean_ascii("review")), lambda t: F.lower(t)))
+    s = splits.split_stratified(p.select("row_id", "label", "label_code", "tokens"), label="label")
+    train = splits.folds_stratified(s.filter(F.col("split") == "train"), FOLDS, label="label")
+    test = s.filter(F.col("split") == "test").withColumn("fold", F.lit(None).cast("int"))
+    return train.unionByName(test)
+
+
+def q_lr_multiclass(spark, root):
+    """TF-IDF + logistic regression, (regParam x maxIter) grid by CrossValidator on the fold column."""
+    from ..operators import mlfit
+    d = _ml_pairs(spark, root)
+    cvm = mlfit.cross_validated_lr(d.filter(F.col("split") == "train"), [0.1], [10, 25], FOLDS)
+    pred = cvm.bestModel.transform(d.filter(F.col("split") == "test"))
+    return normalise(pred.select("row_id", F.col("label_code").alias("truth"), F.col("prediction").alias("pred")))
+
+
+def q_ovr_svc(spark, root):
+    from ..operators import mlfit
+    d = _ml_pairs(spark, root)
+    pred = mlfit.ovr_svc(d.filter(F.col("split") == "train")).transform(d.filter(F.col("split") == "test"))
+    return normalise(pred.select("row_id", F.col("label_code").alias("truth"), F.col("prediction").alias("pred")))
+
+
+def q_lr_multilabel(spark, root):
+    from ..functions.text import clean_ascii, word_tokens
+    from ..operators import mlfit
+    m = filter_present(bindings.multilabel_reviews(spark, root))
+    m = m.withColumn("tokens", F.transform(word_tokens(clean_ascii("review")), lambda t: F.lower(t)))
+    s = splits.split_random(m.select("row_id", "tokens", *FLAGS))
+    fitted = mlfit.per_flag_lr(s.filter(F.col("split") == "train"), FLAGS)
+    return normalise(mlfit.predict_flags(fitted, s.filter(F.col("split") == "test"), FLAGS))
+
+
+def q_embed_lr(spark, root):
+    """Logistic regression on the given dense vectors (frozen encoder + linear head)."""
+    from ..operators import mlfit
+    e = bindings.read_table(spark, root, "embeddings").select(
+        F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.col("label").cast("int").alias("label"))
+    s = splits.split_stratified(e, label="label", key="vec_id")
+    model = mlfit.vector_lr(s.filter(F.col("split") == "train"), "embedding", "label")
+    test = s.filter(F.col("split") == "test").withColumn("features", F.col("embedding"))
+    from pyspark.ml.functions import array_to_vector
+    pred = model.transform(test.withColumn("features", array_to_vector("embedding")))
+    return normalise(pred.select("vec_id", F.col("label").alias("truth"), F.col("prediction").alias("pred")))
+
+
+def q_dataset_catalog(spark, root):
+    """The data directory as a dataset catalog: files by size, with name pieces and rank."""
+    from ..sources import io
+    return normalise(io.dataset_catalog(spark, root, "*.parquet"))
+
+
 QUERIES = {
+    "lr_multiclass": q_lr_multiclass,
+    "ovr_svc": q_ovr_svc,
+    "lr_multilabel": q_lr_multilabel,
+    "embed_lr": q_embed_lr,
+    "dataset_catalog": q_dataset_catalog,
     "nb_term_counts": q_nb_term_counts,
     "nb_predict": q_nb_predict,
     "cv_multiclass": q_cv_multiclass,
