@@ -32,14 +32,11 @@ def word_tokens(c: Column | str) -> Column:
     return F.regexp_extract_all(split, F.lit(TOKEN), 0)
 
 
-def stop_word_array() -> Column:
-    return F.array(*[F.lit(w) for w in STOP_WORDS])
-
-
 def drop_stop_words(tokens: Column) -> Column:
-    """Keep a token unless its lower-case form is a stop word; kept tokens keep their case."""
-    stops = stop_word_array()
-    return F.filter(tokens, lambda t: ~F.array_contains(stops, F.lower(t)))
+    """Keep a token unless its lower-case form is a stop word; kept tokens keep their case.
+
+    ``isin`` over the literal list is planned as a hash-set lookup (InSet), not a linear scan."""
+    return F.filter(tokens, lambda t: ~F.lower(t).isin(STOP_WORDS))
 
 
 def join_tokens(tokens: Column) -> Column:

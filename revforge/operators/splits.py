@@ -56,8 +56,9 @@ def split_stratified(df: DataFrame, label: str = "label", key: str = "row_id", t
     """Add ``split`` = train/test with class shares kept (per group when ``groups`` is given)."""
     groups = groups or []
     keys = groups + [label]
-    alloc = class_allocation(df, label, test_share, groups)
     ranked = rank_within(df.withColumn("_h", hash_key(seed, key)), keys, [F.col("_h"), F.col(key)], name="_r")
+    # the allocation is computed from the numbered table (already written), not from the source again
+    alloc = class_allocation(ranked, label, test_share, groups)
     alloc = alloc.select(*[F.col(k).alias(f"_a{i}") for i, k in enumerate(keys)], "n_train_class")
     cond = [F.col(k).eqNullSafe(F.col(f"_a{i}")) for i, k in enumerate(keys)]
     # one row per (group, class): broadcast behind a size check
@@ -70,9 +71,9 @@ def split_stratified(df: DataFrame, label: str = "label", key: str = "row_id", t
 def split_random(df: DataFrame, key: str = "row_id", test_share: float = TEST_SHARE, seed: int = SEED) -> DataFrame:
     """Add ``split``; the first n_train rows in hash order are train."""
     num, den = _share(test_share)
-    n = df.count()
-    n_train = n - (n * num + den - 1) // den
     pos = ordered_index(df.withColumn("_h", hash_key(seed, key)), [F.col("_h"), F.col(key)], name="_p")
+    n = pos.count()  # a count of the written numbered table, not a second pass over the source
+    n_train = n - (n * num + den - 1) // den
     return pos.withColumn("split", F.when(F.col("_p") <= F.lit(n_train), F.lit("train"))
                           .otherwise(F.lit("test"))).drop("_h", "_p")
 
@@ -98,3 +99,41 @@ def fold_train_val(df: DataFrame, k: int, fold: str = "fold") -> DataFrame:
     is the round. An array explode, not a join."""
     rounds = df.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
     return rounds.withColumn("role", F.when(F.col(fold) == F.col("round"), F.lit("val")).otherwise(F.lit("train")))
+
+
+def split_with_folds(df: DataFrame, k: int, label: str = "label", key: str = "row_id",
+                     test_share: float = TEST_SHARE, seed: int = SEED,
+                     groups: list[str] | None = None) -> DataFrame:
+    """X1 + X3 in one numbering: ``split`` and, for train rows, the stratified ``fold``.
+
+    The train rows of a class are exactly its ranks 1..t_c in hash order, so a train row's position
+    in ([groups], label, hash) order over the train part is (train rows of earlier classes) + rank.
+    That offset comes from the allocation table (one row per class), so no second distributed
+    numbering is needed. Equal to ``folds_stratified`` run on the train part of ``split_stratified``.
+    """
+    groups = groups or []
+    keys = groups + [label]
+    ranked = rank_within(df.withColumn("_h", hash_key(seed, key)), keys, [F.col("_h"), F.col(key)], name="_r")
+    alloc = class_allocation(ranked, label, test_share, groups)
+    before = Window.orderBy(*[F.col(c) for c in keys]).rowsBetween(Window.unboundedPreceding, -1)
+    alloc = alloc.withColumn("_off", F.coalesce(F.sum("n_train_class").over(before), F.lit(0)))
+    alloc = alloc.select(*[F.col(c).alias(f"_a{i}") for i, c in enumerate(keys)], "n_train_class", "_off")
+    cond = [F.col(c).eqNullSafe(F.col(f"_a{i}")) for i, c in enumerate(keys)]
+    j = ranked.join(checked_broadcast(alloc, MAX_ALLOCATION_ROWS), cond)
+    train = F.col("_r") <= F.col("n_train_class")
+    return (j.withColumn("split", F.when(train, F.lit("train")).otherwise(F.lit("test")))
+            .withColumn("fold", F.when(train, F.pmod(F.col("_off") + F.col("_r") - 1, F.lit(k))).cast("int"))
+            .drop("_h", "_r", "n_train_class", "_off", *[f"_a{i}" for i in range(len(keys))]))
+
+
+def split_with_random_folds(df: DataFrame, k: int, key: str = "row_id", test_share: float = TEST_SHARE,
+                            seed: int = SEED) -> DataFrame:
+    """X2 + X4 in one numbering: train rows are hash positions 1..n_train, fold = (position - 1) mod k."""
+    num, den = _share(test_share)
+    pos = ordered_index(df.withColumn("_h", hash_key(seed, key)), [F.col("_h"), F.col(key)], name="_p")
+    n = pos.count()
+    n_train = n - (n * num + den - 1) // den
+    train = F.col("_p") <= F.lit(n_train)
+    return (pos.withColumn("split", F.when(train, F.lit("train")).otherwise(F.lit("test")))
+            .withColumn("fold", F.when(train, F.pmod(F.col("_p") - 1, F.lit(k))).cast("int"))
+            .drop("_h", "_p"))

@@ -57,13 +57,13 @@ def q_split_random(spark, root):
 
 
 def q_folds_stratified(spark, root):
-    train = splits.split_stratified(present(spark, root)).filter(F.col("split") == "train")
-    return normalise(splits.folds_stratified(train, FOLDS).select("row_id", "label", "fold"))
+    both = splits.split_with_folds(present(spark, root), FOLDS)
+    return normalise(both.filter(F.col("split") == "train").select("row_id", "label", "fold"))
 
 
 def q_folds_random(spark, root):
-    train = splits.split_random(present(spark, root)).filter(F.col("split") == "train")
-    return normalise(splits.folds_random(train, 2).select("row_id", "fold"))
+    both = splits.split_with_random_folds(present(spark, root), 2)
+    return normalise(both.filter(F.col("split") == "train").select("row_id", "fold"))
 
 
 def q_fold_train_val(spark, root):

@@ -29,28 +29,22 @@ def pair_problem(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """Hard 4-class target: (quality, toxic) pairs; stratified 80/20 split, 5 stratified folds."""
     p = filter_present(bindings.pair_class_reviews(spark, root))
     p = labels.label_apply(p, labels.label_fit(p))
-    s = splits.split_stratified(p.select("row_id", "label", "label_code"), label="label")
-    train = splits.folds_stratified(s.filter(F.col("split") == "train"), FOLDS, label="label")
-    test = s.filter(F.col("split") == "test").withColumn("fold", F.lit(None).cast("int"))
-    rows = train.unionByName(test).select(
+    rows = splits.split_with_folds(p.select("row_id", "label", "label_code"), FOLDS, label="label").select(
         F.lit("pairs").alias("grp"), F.col("row_id").alias("uid"), F.col("label_code").alias("class"),
         "split", "fold")
-    return rows, _tf(p.select(F.col("row_id").alias("uid"), "review"))
+    return materialize(rows), _tf(p.select(F.col("row_id").alias("uid"), "review"))
 
 
 def flag_problem(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """Multi-label target: four flags as four binary problems; random split, 2 random folds."""
     m = filter_present(bindings.multilabel_reviews(spark, root))
-    s = splits.split_random(m.select("row_id", *FLAGS))
-    train = splits.folds_random(s.filter(F.col("split") == "train"), ML_FOLDS)
-    test = s.filter(F.col("split") == "test").withColumn("fold", F.lit(None).cast("int"))
-    base = train.unionByName(test)
+    base = splits.split_with_random_folds(m.select("row_id", *FLAGS), ML_FOLDS)
     per_flag = F.explode(F.array(*[F.struct(F.lit(j).alias("flag"), F.col(c).alias("class"))
                                    for j, c in enumerate(FLAGS)])).alias("f")
     rows = base.select(F.col("row_id").alias("uid"), "split", "fold", per_flag).select(
         F.concat(F.lit("flag"), F.col("f.flag").cast("string")).alias("grp"), "uid",
         F.col("f.class").alias("class"), "split", "fold")
-    return rows, _tf(m.select(F.col("row_id").alias("uid"), "review"))
+    return materialize(rows), _tf(m.select(F.col("row_id").alias("uid"), "review"))
 
 
 def _truth(rows: DataFrame) -> DataFrame:
@@ -167,10 +161,7 @@ def _ml_pairs(spark: SparkSession, root: str) -> DataFrame:
     p = filter_present(bindings.pair_class_reviews(spark, root))
     p = labels.label_apply(p, labels.label_fit(p))
     p = p.withColumn("tokens", F.transform(word_tokens(clean_ascii("review")), lambda t: F.lower(t)))
-    s = splits.split_stratified(p.select("row_id", "label", "label_code", "tokens"), label="label")
-    train = splits.folds_stratified(s.filter(F.col("split") == "train"), FOLDS, label="label")
-    test = s.filter(F.col("split") == "test").withColumn("fold", F.lit(None).cast("int"))
-    return train.unionByName(test)
+    return splits.split_with_folds(p.select("row_id", "label", "label_code", "tokens"), FOLDS, label="label")
 
 
 def q_lr_multiclass(spark, root):
