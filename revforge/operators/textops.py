@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.constants import MAX_TOKENS, NOUN_SUFFIX_RULES, STOP_WORDS
 from ..functions.porter import porter_stem_udf
 from ..functions.text import clean_ascii, drop_stop_words, join_tokens, word_tokens
+from ..session import materialize
 from .joins import checked_broadcast
 
 # Vocabulary maps up to this many terms are broadcast; larger ones take a shuffle join (AQE
@@ -45,13 +46,25 @@ def stopword_antijoin(tokens: DataFrame, term: str = "term") -> DataFrame:
     return tokens.join(F.broadcast(stops), F.lower(F.col(term)) == F.col("stop"), "left_anti")
 
 
-def lexicon(texts: list[DataFrame]) -> DataFrame:
-    """Lexicon for lemmas: distinct lower-cased terms of the given (key, pos, term) tables."""
-    terms = None
-    for t in texts:
+def vocabulary(tokens: DataFrame, write: bool = False) -> DataFrame:
+    """Distinct terms of a token table (one partial + final aggregate).
+
+    With ``write`` the vocabulary is written once under the checkpoint folder, for plans that use it
+    several times (it is far smaller than the token table it saves re-tokenizing)."""
+    v = tokens.select("term").distinct()
+    return materialize(v) if write else v
+
+
+def lexicon(terms: list[DataFrame]) -> DataFrame:
+    """Lexicon for lemmas: distinct lower-cased forms of the given term tables.
+
+    Passing the corpus vocabulary (not its token table) lets the plan reuse the vocabulary's
+    exchange, so the corpus is tokenized once for both."""
+    out = None
+    for t in terms:
         part = t.select(F.lower("term").alias("word"))
-        terms = part if terms is None else terms.unionByName(part)
-    return terms.distinct()
+        out = part if out is None else out.unionByName(part)
+    return out.distinct()
 
 
 def _suffix_candidates(term: Column) -> Column:
@@ -64,14 +77,13 @@ def _suffix_candidates(term: Column) -> Column:
     return F.array_compact(F.array(*cands))
 
 
-def lemma_vocabulary(tokens: DataFrame, lex: DataFrame) -> DataFrame:
-    """``term -> lemma`` for every distinct term.
+def lemma_vocabulary(vocab: DataFrame, lex: DataFrame) -> DataFrame:
+    """``term -> lemma`` for every term of the vocabulary table (``term``, distinct).
 
     Candidates are semi-joined to the lexicon; the shortest hit wins (ties alphabetical); a term
     with no hit maps to itself. Case is kept: the lexicon is lower-case, so a capitalised form only
     matches itself.
     """
-    vocab = tokens.select("term").distinct()
     cands = vocab.select("term", F.explode(_suffix_candidates(F.col("term"))).alias("cand"))
     hits = cands.join(lex, F.col("cand") == F.col("word"), "left_semi")
     best = hits.groupBy("term").agg(F.min(F.struct(F.length("cand").alias("n"), F.col("cand"))).alias("b"))

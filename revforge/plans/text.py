@@ -43,15 +43,16 @@ def q_stopword_antijoin(spark: SparkSession, root: str) -> DataFrame:
 
 
 def q_lemma_vocab(spark: SparkSession, root: str) -> DataFrame:
-    toks = textops.token_table(_docs(spark, root))
-    lex = textops.lexicon([toks, _bench_tokens(spark, root)])
-    return normalise(textops.lemma_vocabulary(toks, lex))
+    vocab = textops.vocabulary(textops.token_table(_docs(spark, root)), write=True)
+    lex = textops.lexicon([vocab, textops.vocabulary(_bench_tokens(spark, root))])
+    return normalise(textops.lemma_vocabulary(vocab, lex))
 
 
 def q_lemmatize_text(spark: SparkSession, root: str) -> DataFrame:
     toks = textops.token_table(_docs(spark, root))
-    lex = textops.lexicon([toks, _bench_tokens(spark, root)])
-    lem = textops.map_terms(toks, textops.lemma_vocabulary(toks, lex), "lemma")
+    vocab = textops.vocabulary(toks, write=True)
+    lex = textops.lexicon([vocab, textops.vocabulary(_bench_tokens(spark, root))])
+    lem = textops.map_terms(toks, textops.lemma_vocabulary(vocab, lex), "lemma")
     return normalise(lem.select("row_id", "n_tokens", F.md5("lemma").alias("lemma_md5")))
 
 

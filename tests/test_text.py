@@ -39,7 +39,7 @@ def test_lemma_vocabulary(spark):
     toks = spark.createDataFrame([(1, i, t) for i, t in enumerate(["apps", "app", "boxes", "men", "Apps", "glass"])],
                                  "row_id long, pos int, term string")
     lex = spark.createDataFrame([("apps",), ("app",), ("boxes",), ("box",), ("men",), ("man",), ("glass",)], "word string")
-    got = {r.term: r.lemma for r in textops.lemma_vocabulary(toks, lex).collect()}
+    got = {r.term: r.lemma for r in textops.lemma_vocabulary(textops.vocabulary(toks), lex).collect()}
     assert got == {"apps": "app", "app": "app", "boxes": "box", "men": "man", "Apps": "Apps", "glass": "glass"}
 
 
