@@ -8,7 +8,7 @@ Inputs
 A *model* is identified by the fold it leaves out: model ``k`` is fitted on the training rows whose
 fold is not ``k``; model ``-1`` (``ALL``) on every training row. All models of all groups are fitted
 in one job: counts per (fold, class, term) are aggregated once, and a model's counts are the total
-minus its own fold's counts.
+minus its own fold's counts (each per-fold count is sent to the models that keep that fold).
 
 Scoring uses the sparse form of the log-likelihood, so only (term, class) pairs with a non-zero
 count are joined:
@@ -49,13 +49,12 @@ def term_frequencies(tokens: DataFrame, key: str = "uid") -> DataFrame:
 
 
 def _leave_one_out(per_fold: DataFrame, keys: list[str], value: str, models: list[int]) -> DataFrame:
-    """Per model: total over folds minus the model's own fold (an explode, then one join)."""
-    total = per_fold.groupBy(*keys).agg(F.sum(value).alias("_all"))
-    exploded = total.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
-    own = per_fold.withColumnRenamed("fold", "model").withColumnRenamed(value, "_own")
-    j = exploded.join(own, ["grp", "model", *[k for k in keys if k != "grp"]], "left")
-    return j.select("grp", "model", *[k for k in keys if k != "grp"],
-                    (F.col("_all") - F.coalesce(F.col("_own"), F.lit(0))).alias(value)).filter(F.col(value) > 0)
+    """Per model: the sum over the folds it keeps. Each per-fold row is sent to every model that
+    does not leave its fold out (an explode), then one aggregate; no join."""
+    rest = [k for k in keys if k != "grp"]
+    kept_by = F.filter(F.array(*[F.lit(m) for m in models]), lambda m: m != F.col("fold"))
+    exploded = per_fold.withColumn("model", F.explode(kept_by))
+    return exploded.groupBy("grp", "model", *rest).agg(F.sum(value).alias(value)).filter(F.col(value) > 0)
 
 
 def fit(rows: DataFrame, tf: DataFrame, models: list[int]) -> NBModel:
