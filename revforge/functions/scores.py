@@ -33,3 +33,8 @@ def unwrap_scores(df: DataFrame, col: str) -> Column:
     if isinstance(dtype, T.ArrayType) and isinstance(dtype.elementType, T.ArrayType):
         return F.element_at(c, 1)
     return c
+
+
+def negate(metric: Column) -> Column:
+    """a search objective to minimise from a score to maximise."""
+    return -metric

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Plans whose optimizer size estimate is at most this many bytes are broadcast without counting.
-BROADCAST_BYTES = 32 * 1024 * 1024
+# Kept below Spark's own 10 MB default: estimates of exploded (token) tables can undercount.
+BROADCAST_BYTES = 8 * 1024 * 1024
 
 
 def estimated_bytes(df: DataFrame) -> int:

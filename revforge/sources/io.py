@@ -101,3 +101,12 @@ def pick_datasets(catalog: DataFrame, positions: list[int]) -> DataFrame:
 def variant_of(kind: int | str) -> str:
     """1 -> Balanced, anything else -> Unbalanced."""
     return "Balanced" if kind == 1 else "Unbalanced"
+
+
+def timed(action) -> tuple[object, str]:
+    """run an action and return (result, elapsed seconds as text with an ``s`` suffix)."""
+    import time
+
+    t0 = time.time()
+    out = action()
+    return out, f"{time.time() - t0:.2f} s"
