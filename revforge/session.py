@@ -33,6 +33,7 @@ def build_session(master: str | None = None, app: str = "revforge", shuffle_part
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -69,3 +70,31 @@ def materialize(df):
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/revforge-table-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``revforge`` importable in Python workers (pandas UDFs, stateful stream functions).
+
+    Equivalent to ``--py-files``: the package is zipped once per application and added with
+    ``addPyFile``, which Spark copies to every executor. A no-op when already shipped.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    out = os.path.join(tempfile.mkdtemp(prefix="revforge-pyfiles-"), "revforge.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(out)
+    _SHIPPED.add(app)

@@ -67,15 +67,25 @@ def _carry(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[
 
 def carry_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint: str,
                  files_per_batch: int = 1) -> None:
-    """Run the stateful carry over every file now in ``source_dir`` (availableNow), into ``sink_dir``."""
+    """Run the stateful carry over every file now in ``source_dir`` (availableNow), into ``sink_dir``.
+
+    The state is keyed by run and split into ``min(shuffle partitions, cluster cores)`` partitions,
+    fixed for the life of the checkpoint."""
+    conf = spark.conf
+    configured = int(conf.get("spark.sql.shuffle.partitions"))
+    state_parts = max(1, min(configured, spark.sparkContext.defaultParallelism))
     stream = (
         spark.readStream.schema(LOG_SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(source_dir)
         .groupBy("run")
         .applyInPandasWithState(_carry, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
     )
-    q = (stream.writeStream.format("parquet").option("path", sink_dir)
-         .option("checkpointLocation", checkpoint).outputMode("append")
-         .trigger(availableNow=True).start())
+    conf.set("spark.sql.shuffle.partitions", str(state_parts))
+    try:
+        q = (stream.writeStream.format("parquet").option("path", sink_dir)
+             .option("checkpointLocation", checkpoint).outputMode("append")
+             .trigger(availableNow=True).start())
+    finally:
+        conf.set("spark.sql.shuffle.partitions", str(configured))
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))

@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from pyspark.sql import SparkSession
 
-    from revforge.session import ensure_checkpoint_dir
+    from revforge.session import ensure_checkpoint_dir, ship_package
 
     s = (SparkSession.builder.master("local[4]").appName("revforge-tests")
          .config("spark.sql.shuffle.partitions", "8")
@@ -22,6 +22,7 @@ def spark():
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(s)
+    ship_package(s)
     yield s
     s.stop()
 
