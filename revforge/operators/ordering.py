@@ -15,12 +15,6 @@ from ..session import materialize
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row index in the low 33 bits
 
 
-def _target_partitions(df: DataFrame, num_partitions: int | None) -> int:
-    if num_partitions:
-        return num_partitions
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def ordered_index(df: DataFrame, order: list[Column | str], name: str = "pos",
                   num_partitions: int | None = None) -> DataFrame:
     """Add ``name``: the 1-based position of each row under ``order`` (which must be a total order).
@@ -29,9 +23,11 @@ def ordered_index(df: DataFrame, order: list[Column | str], name: str = "pos",
     positional, so the numbered table is written once as Parquet and reused) -> broadcast join of the
     per-partition offsets.
     """
-    n = _target_partitions(df, num_partitions)
+    # Without an explicit count the range shuffle uses the session default and AQE may merge
+    # adjacent (small) ranges; merged ranges stay contiguous, so the order is kept.
+    ranged = df.repartitionByRange(num_partitions, *order) if num_partitions else df.repartitionByRange(*order)
     numbered = materialize(
-        df.repartitionByRange(n, *order)
+        ranged
         .sortWithinPartitions(*order)
         .withColumn("_mono", F.monotonically_increasing_id())
     )
