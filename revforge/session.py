@@ -28,6 +28,9 @@ def build_session(master: str | None = None, app: str = "revforge", shuffle_part
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
+    event_dir = os.environ.get("REVFORGE_EVENT_LOG_DIR")
+    if event_dir:  # stage and task times for later reading, without the web UI
+        builder = builder.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", event_dir)
     if master and master.startswith("local"):
         builder = builder.config("spark.driver.memory", os.environ.get("REVFORGE_DRIVER_MEMORY", "16g"))
     spark = builder.getOrCreate()
