@@ -5,27 +5,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 # Plans whose optimizer size estimate is at most this many bytes are broadcast without counting.
 # Kept below Spark's own 10 MB default: estimates of exploded (token) tables can undercount.
 BROADCAST_BYTES = 8 * 1024 * 1024
 
 
+def plan_bytes(plan) -> int:
+    """``sizeInBytes`` of a logical plan's statistics (py4j hands a BigInt over as int or object)."""
+    v = plan.stats().sizeInBytes()
+    return v if isinstance(v, int) else int(v.toString())
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate of ``df`` (an upper bound for scans of written tables and
     local data; the same statistic Spark uses for its own broadcast threshold)."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        return plan_bytes(df._jdf.queryExecution().optimizedPlan())
     except Exception:  # noqa: BLE001 - no estimate: treat as large
         return 1 << 62
 
 
+def is_plain_scan(df: DataFrame) -> bool:
+    """True when ``df`` is a file scan under projections / filters only (a written table): counting
+    it reads Parquet footers and column chunks of one table, with no joins or aggregates to redo."""
+    try:
+        node = df._jdf.queryExecution().optimizedPlan()
+        while node.nodeName() in ("Project", "Filter"):
+            node = node.child()
+        return node.nodeName() in ("Relation", "LogicalRelation")
+    except Exception:  # noqa: BLE001
+        return False
+
+
 def checked_broadcast(df: DataFrame, max_rows: int, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Broadcast ``df`` only when its size is known to be small, else leave the choice to the planner.
 
-    First the optimizer's byte estimate (free); if that is not conclusive, a count of at most
-    ``max_rows + 1`` rows (bounded work).
+    First the optimizer's byte estimate (free). If that is not conclusive (estimates above joins and
+    aggregates multiply or keep their inputs' sizes), ``df`` is written once under the checkpoint
+    folder and its row count read from the Parquet footers; the join then reads the written table,
+    so the side is computed once, not once for the check and again for the join.
     """
     if estimated_bytes(df) <= max_bytes:
         return F.broadcast(df)
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    written = df if is_plain_scan(df) else materialize(df)
+    return F.broadcast(written) if written.count() <= max_rows else written

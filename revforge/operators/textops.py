@@ -15,6 +15,7 @@ from ..functions.porter import porter_stem_udf
 from ..functions.text import clean_ascii, drop_stop_words, join_tokens, word_tokens
 from ..session import materialize
 from .joins import checked_broadcast
+from .layout import spread
 
 # Vocabulary maps up to this many terms are broadcast; larger ones take a shuffle join (AQE
 # splits a hot term's partition).
@@ -26,12 +27,12 @@ N_SPECIAL = 4
 
 def token_table(df: DataFrame, text: str = "review", key: str = "row_id") -> DataFrame:
     """``key, pos, term``: one row per token of the printable-ASCII text (pos is 0-based)."""
-    return df.select(key, F.posexplode(word_tokens(clean_ascii(text))).alias("pos", "term"))
+    return spread(df, key).select(key, F.posexplode(word_tokens(clean_ascii(text))).alias("pos", "term"))
 
 
-def tokenized(df: DataFrame, text: str = "review", out: str = "tokens") -> DataFrame:
+def tokenized(df: DataFrame, text: str = "review", out: str = "tokens", key: str = "row_id") -> DataFrame:
     """F3 as an array column."""
-    return df.withColumn(out, word_tokens(clean_ascii(text)))
+    return spread(df, key).withColumn(out, word_tokens(clean_ascii(text)))
 
 
 def remove_stopwords(df: DataFrame, tokens: str = "tokens", out: str = "no_stopwords") -> DataFrame:

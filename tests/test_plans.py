@@ -36,3 +36,31 @@ def test_no_row_python(spark, key):
     import __spark_entry__ as e
     p = plan(e.queries()[key](spark, SF))
     assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p
+
+
+def test_coarse_input_is_spread_and_tf_reuses_it(spark):
+    """A one-row-group table is hash-partitioned by the text key before tokenizing, and the
+    per-text term aggregation reuses that partitioning (one exchange, no second shuffle)."""
+    from pyspark.sql import functions as F
+
+    from revforge.operators import nb, textops
+    docs = bindings.raw_reviews(spark, SF).select(F.col("row_id").alias("uid"), "review")
+    p = plan(nb.term_frequencies(textops.token_table(docs, key="uid"), key="uid"))
+    assert "REPARTITION_BY_NUM" in p
+    assert p.count("Exchange hashpartitioning") == 1
+
+
+def test_large_input_is_left_alone(spark, monkeypatch):
+    """When the scanned relation already has a split per core, no shuffle is added."""
+    from revforge.operators import layout
+    monkeypatch.setattr(layout, "largest_input_bytes", lambda df: 1 << 50)
+    docs = bindings.raw_reviews(spark, SF)
+    assert "Exchange" not in plan(layout.spread(docs, "row_id"))
+
+
+def test_broadcast_check_counts_written_tables_directly(spark):
+    from revforge.operators.joins import is_plain_scan
+    t = spark.read.parquet(f"{SF}/labels.parquet")
+    assert is_plain_scan(t.select("doc_id").filter("doc_id > 3"))
+    assert not is_plain_scan(t.groupBy("quality").count())
+    assert not is_plain_scan(t.join(t, "doc_id"))
