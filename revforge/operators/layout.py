@@ -6,6 +6,11 @@ optimizer's size estimate says the input is smaller than one split per core, the
 hash-partitioned by their key over the cluster's parallelism; a big input (many splits) is left as
 it is, so no shuffle is added at scale. Hashing on the key also lets a later aggregation keyed by
 it (term frequencies per text) reuse the partitioning instead of shuffling again.
+
+Why the threshold is "fewer splits than cores": the regex tokenizer runs at about 1 MB/s per core,
+while a shuffle moves tens of MB/s per core, so moving the text costs a few percent of tokenizing
+it; whenever the scan would leave cores idle, spreading pays for itself. Keys are text ids (one row
+each), so the hash layout has no hot key.
 """
 
 from __future__ import annotations

@@ -31,6 +31,7 @@ from ..session import materialize
 from .joins import checked_broadcast
 
 ALL = -1
+VOCAB = -1  # class value of the per-term marker rows in the weight table (real classes are >= 0)
 MAX_BROADCAST_CLASS_ROWS = 1_000_000
 MAX_BROADCAST_MODEL_TERMS = 2_000_000
 ROUND = 6
@@ -41,6 +42,7 @@ class NBModel:
     counts: DataFrame   # grp, model, class, term, c   (c > 0)
     vocab: DataFrame    # grp, model, term
     classes: DataFrame  # grp, model, class, nd, log_prior, ntok, vsize
+    weights: DataFrame  # counts plus one (class VOCAB, c 0) row per vocabulary term; written once
 
 
 def term_frequencies(tokens: DataFrame, key: str = "uid") -> DataFrame:
@@ -58,13 +60,20 @@ def _leave_one_out(per_fold: DataFrame, keys: list[str], value: str, models: lis
 
 
 def fit(rows: DataFrame, tf: DataFrame, models: list[int]) -> NBModel:
-    """Fit every requested model of every group (M5 / M6 / M8 in one job)."""
+    """Fit every requested model of every group (M5 / M6 / M8 in one job).
+
+    The written weight table holds, per (group, model), the non-zero (class, term) counts plus one
+    marker row (class ``VOCAB``, c = 0) per vocabulary term, so scoring needs a single join."""
     train = rows.filter(F.col("split") == "train").select(
         "grp", "uid", "class", F.coalesce(F.col("fold"), F.lit(ALL - 1)).alias("fold"))
     labelled = tf.join(train, "uid")
     per_fold = labelled.groupBy("grp", "fold", "class", "term").agg(F.sum("tf").alias("c"))
-    counts = materialize(_leave_one_out(per_fold, ["grp", "class", "term"], "c", models))
-    vocab = counts.select("grp", "model", "term").distinct()
+    loo = _leave_one_out(per_fold, ["grp", "class", "term"], "c", models)
+    marks = loo.select("grp", "model", "term").distinct().select(
+        "grp", "model", F.lit(VOCAB).alias("class"), "term", F.lit(0).cast("long").alias("c"))
+    weights = materialize(loo.select("grp", "model", "class", "term", "c").unionByName(marks))
+    counts = weights.filter(F.col("class") != VOCAB)
+    vocab = weights.filter(F.col("class") == VOCAB).select("grp", "model", "term")
     vsize = vocab.groupBy("grp", "model").agg(F.count(F.lit(1)).alias("vsize"))
     ntok = counts.groupBy("grp", "model", "class").agg(F.sum("c").alias("ntok"))
     docs = _leave_one_out(train.groupBy("grp", "fold", "class").agg(F.count(F.lit(1)).alias("nd")),
@@ -75,24 +84,29 @@ def fit(rows: DataFrame, tf: DataFrame, models: list[int]) -> NBModel:
                .join(vsize, ["grp", "model"], "left")
                .select("grp", "model", "class", "nd", F.log(F.col("nd") / F.col("n")).alias("log_prior"),
                        F.coalesce("ntok", F.lit(0)).alias("ntok"), F.coalesce("vsize", F.lit(0)).alias("vsize")))
-    return NBModel(counts, vocab, classes)
+    return NBModel(counts, vocab, classes, weights)
 
 
 def predict(model: NBModel, targets: DataFrame, tf: DataFrame, alphas: list[float] | None = None) -> DataFrame:
-    """``grp, uid, model, alpha, pred`` for each target row ``grp, uid, model``."""
+    """``grp, uid, model, alpha, pred`` for each target row ``grp, uid, model``.
+
+    One join of the target texts' terms to the weight table and one aggregate per (text, model,
+    class): the marker rows give L_d, the class rows one sparse sum per smoothing value (columns,
+    not exploded rows, so a search over many values does not multiply the joined rows)."""
     alphas = alphas or [1.0]
-    alpha_arr = F.array(*[F.lit(float(a)) for a in alphas])
     t = targets.join(tf, "uid")
-    vocab = checked_broadcast(model.vocab, MAX_BROADCAST_MODEL_TERMS)
-    in_vocab = t.join(vocab, ["grp", "model", "term"]).groupBy("grp", "uid", "model").agg(F.sum("tf").alias("L"))
-    pairs = t.join(checked_broadcast(model.counts, MAX_BROADCAST_MODEL_TERMS), ["grp", "model", "term"])
-    sparse = (pairs.withColumn("alpha", F.explode(alpha_arr))
-              .groupBy("grp", "uid", "model", "class", "alpha")
-              .agg(F.sum(F.col("tf") * F.log((F.col("c") + F.col("alpha")) / F.col("alpha"))).alias("S")))
+    joined = t.join(checked_broadcast(model.weights, MAX_BROADCAST_MODEL_TERMS), ["grp", "model", "term"])
+    sums = [F.sum(F.col("tf") * F.log((F.col("c") + F.lit(float(a))) / F.lit(float(a)))).alias(f"_s{i}")
+            for i, a in enumerate(alphas)]
+    per_class = joined.groupBy("grp", "uid", "model", "class").agg(F.sum("tf").alias("_n"), *sums)
+    in_vocab = per_class.filter(F.col("class") == VOCAB).select("grp", "uid", "model", F.col("_n").alias("L"))
+    sparse = per_class.filter(F.col("class") != VOCAB).drop("_n")
+    per_alpha = F.inline(F.array(*[F.struct(F.lit(float(a)).alias("alpha"), F.col(f"_s{i}").alias("S"))
+                                   for i, a in enumerate(alphas)]))
     base = (targets.join(checked_broadcast(model.classes, MAX_BROADCAST_CLASS_ROWS), ["grp", "model"])
-            .withColumn("alpha", F.explode(alpha_arr))
             .join(in_vocab, ["grp", "uid", "model"], "left")
-            .join(sparse, ["grp", "uid", "model", "class", "alpha"], "left"))
+            .join(sparse, ["grp", "uid", "model", "class"], "left")
+            .select("grp", "uid", "model", "class", "log_prior", "ntok", "vsize", "L", per_alpha))
     a = F.col("alpha")
     score = (F.col("log_prior")
              + F.coalesce(F.col("L"), F.lit(0)) * (F.log(a) - F.log(F.col("ntok") + a * F.col("vsize")))
