@@ -32,7 +32,7 @@ def largest_input_bytes(df: DataFrame) -> int:
         return 1 << 62
 
 
-def _split_bytes(df: DataFrame) -> int:
+def split_bytes(df: DataFrame) -> int:
     raw = df.sparkSession.conf.get("spark.sql.files.maxPartitionBytes", "134217728")
     raw = str(raw).strip().lower()
     units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
@@ -47,6 +47,6 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """``df`` hash-partitioned by ``key`` over the cluster's cores when its input is too coarse to
     keep them busy; otherwise ``df`` unchanged (decided at plan time, no job is run)."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if largest_input_bytes(df) >= cores * _split_bytes(df):
+    if largest_input_bytes(df) >= cores * split_bytes(df):
         return df
     return df.repartition(cores, key)

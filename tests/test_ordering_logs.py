@@ -82,7 +82,7 @@ def test_best_epoch(spark):
 
 
 def test_grouped_top_k_hot_class_brute_force(spark):
-    """Two-round top-k equals a sort-and-head per class on a skewed table spread over many
+    """One- and two-round top-k equal a sort-and-head per class on a skewed table spread over many
     partitions (one class holds ~90% of the rows; lengths tie often, ties broken by id)."""
     from pyspark.sql import functions as F
 
@@ -90,11 +90,17 @@ def test_grouped_top_k_hot_class_brute_force(spark):
     rows = [(i, 0 if i % 10 else 1 + (i // 10) % 3, (i * 37) % 23) for i in range(3000)]
     df = spark.createDataFrame(rows, "id long, cls int, n int").repartition(24)
     order = [F.col("n").desc(), F.col("id")]
-    got = {(r.cls, r.rk): r.id for r in grouped_top_k(df, ["cls"], order, 40, "rk").collect()}
+    for rounds in (1, 2):
+        got = {(r.cls, r.rk): r.id for r in grouped_top_k(df, ["cls"], order, 40, "rk", rounds).collect()}
+        _check_top_k(rows, got)
+    for rounds in (1, 2):
+        head = [r.id for r in head_rows(df, order, 75, rounds).collect()]
+        assert head == [r[0] for r in sorted(rows, key=lambda r: (-r[2], r[0]))[:75]]
+
+
+def _check_top_k(rows, got):
     want = {}
     for c in {r[1] for r in rows}:
         ranked = sorted((r for r in rows if r[1] == c), key=lambda r: (-r[2], r[0]))[:40]
         want.update({(c, i + 1): r[0] for i, r in enumerate(ranked)})
     assert got == want
-    head = [r.id for r in head_rows(df, order, 75).collect()]
-    assert head == [r[0] for r in sorted(rows, key=lambda r: (-r[2], r[0]))[:75]]

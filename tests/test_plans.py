@@ -64,3 +64,12 @@ def test_broadcast_check_counts_written_tables_directly(spark):
     assert is_plain_scan(t.select("doc_id").filter("doc_id > 3"))
     assert not is_plain_scan(t.groupBy("quality").count())
     assert not is_plain_scan(t.join(t, "doc_id"))
+
+
+def test_top_k_rounds_follow_the_input_size(spark, monkeypatch):
+    """Small inputs rank in one round; a scan with many splits gets the salted first round."""
+    from revforge.operators import layout
+    df = coded_reviews(spark, SF)
+    assert plan(balance.balance_longest(df, LONGEST_QUOTA)).count("Exchange hashpartitioning") == 1
+    monkeypatch.setattr(layout, "largest_input_bytes", lambda d: 1 << 50)
+    assert plan(balance.balance_longest(df, LONGEST_QUOTA)).count("Exchange hashpartitioning") == 2
