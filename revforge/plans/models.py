@@ -155,13 +155,23 @@ def q_run_matrix(spark, root):
                                 "accuracy", "macro_f1"))
 
 
-def _ml_pairs(spark: SparkSession, root: str) -> DataFrame:
-    """Pair target with token arrays, split and folds (the same folds as the naive Bayes path)."""
+def _lower_tokens(df: DataFrame) -> DataFrame:
+    """Lower-cased token arrays, tokenized after spreading a coarse input over the cluster."""
     from ..functions.text import clean_ascii, word_tokens
+    from ..operators.layout import spread
+    return spread(df, "row_id").withColumn(
+        "tokens", F.transform(word_tokens(clean_ascii("review")), lambda t: F.lower(t)))
+
+
+def _ml_pairs(spark: SparkSession, root: str) -> DataFrame:
+    """Pair target with token arrays, split and folds (the same folds as the naive Bayes path).
+
+    Written once: cross-validation filters and caches each fold from this table, which would
+    otherwise re-run tokenizing and the split numbering once per fold."""
     p = filter_present(bindings.pair_class_reviews(spark, root))
-    p = labels.label_apply(p, labels.label_fit(p))
-    p = p.withColumn("tokens", F.transform(word_tokens(clean_ascii("review")), lambda t: F.lower(t)))
-    return splits.split_with_folds(p.select("row_id", "label", "label_code", "tokens"), FOLDS, label="label")
+    p = _lower_tokens(labels.label_apply(p, labels.label_fit(p)))
+    return materialize(
+        splits.split_with_folds(p.select("row_id", "label", "label_code", "tokens"), FOLDS, label="label"))
 
 
 def q_lr_multiclass(spark, root):
@@ -181,11 +191,9 @@ def q_ovr_svc(spark, root):
 
 
 def q_lr_multilabel(spark, root):
-    from ..functions.text import clean_ascii, word_tokens
     from ..operators import mlfit
-    m = filter_present(bindings.multilabel_reviews(spark, root))
-    m = m.withColumn("tokens", F.transform(word_tokens(clean_ascii("review")), lambda t: F.lower(t)))
-    s = splits.split_random(m.select("row_id", "tokens", *FLAGS))
+    m = _lower_tokens(filter_present(bindings.multilabel_reviews(spark, root)))
+    s = materialize(splits.split_random(m.select("row_id", "tokens", *FLAGS)))
     fitted = mlfit.per_flag_lr(s.filter(F.col("split") == "train"), FLAGS)
     return normalise(mlfit.predict_flags(fitted, s.filter(F.col("split") == "test"), FLAGS))
 
