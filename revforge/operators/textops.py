@@ -85,7 +85,8 @@ def lemma_vocabulary(vocab: DataFrame, lex: DataFrame) -> DataFrame:
     with no hit maps to itself. Case is kept: the lexicon is lower-case, so a capitalised form only
     matches itself.
     """
-    cands = vocab.select("term", F.explode(_suffix_candidates(F.col("term"))).alias("cand"))
+    # spread: a small written vocabulary is one file (one task); the aggregate by term reuses the layout
+    cands = spread(vocab, "term").select("term", F.explode(_suffix_candidates(F.col("term"))).alias("cand"))
     hits = cands.join(lex, F.col("cand") == F.col("word"), "left_semi")
     best = hits.groupBy("term").agg(F.min(F.struct(F.length("cand").alias("n"), F.col("cand"))).alias("b"))
     return (
@@ -97,7 +98,8 @@ def lemma_vocabulary(vocab: DataFrame, lex: DataFrame) -> DataFrame:
 def stem_vocabulary(tokens: DataFrame) -> DataFrame:
     """``term -> stem`` computed once per distinct term in an Arrow-batched pandas UDF."""
     vocab = tokens.select("term").distinct()
-    return vocab.select("term", porter_stem_udf(F.col("term")).alias("stem"))
+    # AQE coalesces the small distinct output into few partitions; spread it before the Python step
+    return spread(vocab, "term").select("term", porter_stem_udf(F.col("term")).alias("stem"))
 
 
 def map_terms(tokens: DataFrame, mapping: DataFrame, value: str, key: str = "row_id") -> DataFrame:
