@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat, mixing, packing, quality, sharding, toxicity
+from . import ann, chat, mixing, packing, pii, quality, sharding, toxicity
 from .common import table
 from .oracle import SQL
 
 __all__ = ["QUERIES", "SQL"]
 
 
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_digest(table(spark, sf_dir, "documents"))
+
+
 def op3_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.every_twentieth(table(spark, sf_dir, "embeddings"))
 
@@ -44,5 +48,5 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op3_nearest_vectors, op4_pack, op6_quality_rules, op7_chat_format, op8_toxicity, op9_mix_sources, op10_shard)
+        op1_personal_data, op3_nearest_vectors, op4_pack, op6_quality_rules, op7_chat_format, op8_toxicity, op9_mix_sources, op10_shard)
 }
