@@ -152,7 +152,21 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     n = F.col("_sure") + (F.coalesce(F.col("_drawn"), F.lit(0)) >= F.col("_no")).cast("long")
     out = got.withColumn("copies", n).join(targets.select("_src", "source_size", "target"), "_src")
     return out.select("doc_id", "source", "size", "source_size", "target", "copies",
-                      (F.col("copies") * F.col("size")).alias("taken"))
+                      (F.col("copies") * F.col("size")).alias("taken"), "_src", "_tie", "_no")
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """The mix itself: the rows of ``docs`` (all columns), each as often as the mix takes it."""
+    plan = mix(docs).where(F.col("copies") > 0)
+    plan = plan.groupBy(F.col("doc_id").alias("_id"), F.col("_src").alias("_s"), F.col("_tie").alias("_t")).agg(
+        F.sort_array(F.collect_list(F.struct("_no", "copies"))).alias("_take"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_did"),
+                       key_of("source").alias("_ds"), F.md5(text_of().cast("binary")).alias("_dt"))
+    on = rows["_did"].eqNullSafe(plan["_id"]) & (rows["_ds"] == plan["_s"]) & (rows["_dt"] == plan["_t"])
+    no = F.row_number().over(Window.partitionBy("_id", "_s", "_t").orderBy("_dt"))
+    got = rows.join(plan, on).withColumn("_rn", no)
+    n = F.filter("_take", lambda x: x["_no"] == F.col("_rn"))
+    return got.select("_row", F.explode(F.sequence(F.lit(1), F.get(n, F.lit(0))["copies"])).alias("_c")).select("_row.*")
 
 
 def _null_safe_join(a: DataFrame, b: DataFrame, keys: list[str], how: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat, mixing, packing, pii, quality, sharding, toxicity
+from . import ann, chat, mixing, neardup, packing, pii, quality, sharding, substrings, toxicity
 from .common import table
 from .oracle import SQL
 
@@ -17,6 +17,10 @@ def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.every_twentieth(table(spark, sf_dir, "embeddings"))
 
@@ -25,6 +29,10 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.substring_digest(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_digest(table(spark, sf_dir, "documents"))
 
@@ -48,5 +56,6 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_personal_data, op3_nearest_vectors, op4_pack, op6_quality_rules, op7_chat_format, op8_toxicity, op9_mix_sources, op10_shard)
+        op1_personal_data, op2_near_duplicates, op3_nearest_vectors, op4_pack, op5_repeated_substrings, op6_quality_rules,
+        op7_chat_format, op8_toxicity, op9_mix_sources, op10_shard)
 }
