@@ -1,7 +1,7 @@
 """Near duplicates: improved consistent weighted sampling over TF-IDF shingles, banded, then verified.
 
 1. Document frequencies of five-word shingles, hashed into ``2 ** DF_BITS`` counters, over all documents: a table
-   of fixed size. A counter's floor grows with the corpus as the corpus does, so weights mean the same at any size.
+   of fixed size. Weights depend on shares of the documents, so they mean the same at any size.
 2. Each distinct text's shingles get the weight tf * idf. Improved consistent weighted sampling draws
    ``BANDS * ROWS`` samples (two texts agree on one with the probability of their weighted Jaccard
    similarity); the random numbers come from tables indexed by a hash of (shingle, sample).
@@ -37,6 +37,7 @@ BANDS, ROWS = 12, 4
 SAMPLES = BANDS * ROWS
 DF_BITS = 18
 CHUNK_BITS = 12
+COMMON = 0.5
 ALL_PAIRS = 5
 PART = 1024
 NEAREST = 2
@@ -134,12 +135,13 @@ def _add_counts(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def inverse_frequencies(words: DataFrame, total: int) -> np.ndarray:
-    """log(1 + documents / frequency) per counter. Each task sends one table of counters; they are added by chunk."""
+    """log(1 + documents / frequency) per counter, frequencies under COMMON of all documents counted as that: a
+    group of near copies, however large, keeps its full weight, and only what most documents share loses. Each task sends one table of counters; they are added by chunk."""
     parts = words.mapInArrow(_count_df, "chunk int, n binary").groupBy("chunk").applyInPandas(_add_counts, "chunk int, n binary")
     df = np.zeros(1 << DF_BITS, np.int64)
     for r in parts.collect():  # 2 ** (DF_BITS - CHUNK_BITS) rows, 2 MB in all
         df[r["chunk"] << CHUNK_BITS:(r["chunk"] + 1) << CHUNK_BITS] = np.frombuffer(r["n"], np.int64)
-    return np.log1p(max(total, 1) / np.maximum(df, 1))
+    return np.log1p(max(total, 1) / np.maximum(df, max(COMMON * total, 1)))
 
 
 def _sign(sampler: Sampler) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
