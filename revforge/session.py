@@ -17,10 +17,13 @@ def build_session(master: str | None = None, app: str = "revforge", shuffle_part
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    parts = shuffle_partitions or int(os.environ.get("REVFORGE_SHUFFLE_PARTITIONS", "8"))
+    parts = shuffle_partitions or os.environ.get("REVFORGE_SHUFFLE_PARTITIONS")
+    if not parts and master and master.startswith("local"):
+        parts = 8
+    if parts:  # on a cluster the launcher's width holds
+        builder = builder.config("spark.sql.shuffle.partitions", str(parts))
     builder = (
-        builder.config("spark.sql.shuffle.partitions", str(parts))
-        .config("spark.sql.adaptive.enabled", "true")
+        builder.config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
@@ -56,6 +59,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         except Exception:  # noqa: BLE001 - unset key raises on some versions
             configured = None
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="revforge-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
