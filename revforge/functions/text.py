@@ -9,10 +9,17 @@ from .constants import STOP_WORDS
 
 # Anything outside printable ASCII (space .. tilde) is deleted, newlines and tabs included.
 NON_PRINTABLE = r"[^\x20-\x7E]"
-# A contraction's "n't" is split off its stem ("don't" -> "do n't", "can't" -> "ca n't").
-CONTRACTION = r"([A-Za-z])n't\b"
-# Tokens: n't, clitics ('s 'm 'd 'll 're 've), words, digit runs, any other single non-space char.
-TOKEN = r"n't|'(?:s|S|m|M|d|D|ll|LL|re|RE|ve|VE)\b|[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]"
+# A word: letters, marks and digits of any script; single inner hyphens, periods, apostrophes, slashes and
+# underscores stay inside it ("well-known", "v3.5"), commas and colons only before a digit ("12,500").
+WORD = r"[\p{L}\p{M}\p{N}]+(?:[-.'/_][\p{L}\p{M}\p{N}]+|[,:]\p{N}[\p{L}\p{M}\p{N}]*)*"
+# Tokens: words, an ellipsis, a double hyphen, any other single character that is neither blank nor control.
+TOKEN = WORD + r"|\.\.\.|--|[^\x00-\x20\x7F-\xA0\p{Z}\p{L}\p{M}\p{N}]"
+
+# ---- fixed values: endings split off a word, and words split in two (word, length of the first part) ----
+NEGATION = "n't"
+CLITICS = ["'s", "'m", "'d", "'ll", "'re", "'ve"]
+SPLIT_WORDS = [("cannot", 3), ("d'ye", 1), ("gimme", 3), ("gonna", 3), ("gotta", 3), ("lemme", 3),
+               ("more'n", 4), ("wanna", 3)]
 
 
 def clean_ascii(c: Column | str) -> Column:
@@ -25,11 +32,26 @@ def text_length(c: Column | str) -> Column:
     return F.length(F.col(c) if isinstance(c, str) else c)
 
 
+def _split_contraction(token: Column) -> Column:
+    """The parts of one token, whatever its case: ("Do", "n't"), ("it", "'s"), ("can", "not"), or the token alone."""
+    low = F.lower(token)
+
+    def tail(n: int) -> Column:
+        return F.array(F.left(token, F.length(token) - F.lit(n)), F.right(token, F.lit(n)))
+
+    apostrophe = F.when(low.endswith(NEGATION) & (F.length(token) > F.lit(len(NEGATION))), tail(len(NEGATION)))
+    for c in CLITICS:
+        apostrophe = apostrophe.when(low.endswith(c) & (F.length(token) > F.lit(len(c))), tail(len(c)))
+    whole = F.array(token)
+    parts = F.when(low.isin([w for w, _ in SPLIT_WORDS]),
+                   F.coalesce(*[F.when(low == w, tail(len(w) - n)) for w, n in SPLIT_WORDS]))
+    return parts.when(token.contains("'"), apostrophe.otherwise(whole)).otherwise(whole)
+
+
 def word_tokens(c: Column | str) -> Column:
-    """Words and punctuation as separate tokens, contractions split (Treebank-like)."""
+    """Words and punctuation as separate tokens, contractions split (Treebank-like), of any script."""
     col = F.col(c) if isinstance(c, str) else c
-    split = F.regexp_replace(col, CONTRACTION, "$1 n't")
-    return F.regexp_extract_all(split, F.lit(TOKEN), 0)
+    return F.flatten(F.transform(F.regexp_extract_all(col, F.lit(TOKEN), 0), _split_contraction))
 
 
 def drop_stop_words(tokens: Column) -> Column:

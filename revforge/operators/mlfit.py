@@ -12,20 +12,21 @@ from __future__ import annotations
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import IDF, CountVectorizer
+from pyspark.ml.feature import IDF, HashingTF
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-VOCAB = 20_000
+# Width of the hashed term counts: every term of every text is counted, whatever the vocabulary's size.
+FEATURES = 1 << 18
 
 
 def tfidf_lr(reg: float = 0.1, max_iter: int = 50) -> Pipeline:
-    cv = CountVectorizer(inputCol="tokens", outputCol="tf", vocabSize=VOCAB, minDF=1.0)
+    tf = HashingTF(inputCol="tokens", outputCol="tf", numFeatures=FEATURES)
     idf = IDF(inputCol="tf", outputCol="features")
     lr = LogisticRegression(featuresCol="features", labelCol="label_code", regParam=reg, maxIter=max_iter)
-    return Pipeline(stages=[cv, idf, lr])
+    return Pipeline(stages=[tf, idf, lr])
 
 
 def cross_validated_lr(train: DataFrame, regs: list[float], max_iters: list[int], folds: int,
@@ -50,22 +51,22 @@ def vector_lr(train: DataFrame, vector_col: str, label: str, reg: float = 0.01,
 
 def ovr_svc(train: DataFrame, reg: float = 0.1, max_iter: int = 25):
     """One-vs-rest linear SVM on TF-IDF features."""
-    cv = CountVectorizer(inputCol="tokens", outputCol="tf", vocabSize=VOCAB)
+    tf = HashingTF(inputCol="tokens", outputCol="tf", numFeatures=FEATURES)
     idf = IDF(inputCol="tf", outputCol="features")
     ovr = OneVsRest(classifier=LinearSVC(regParam=reg, maxIter=max_iter), featuresCol="features",
                     labelCol="label_code")
-    return Pipeline(stages=[cv, idf, ovr]).fit(train)
+    return Pipeline(stages=[tf, idf, ovr]).fit(train)
 
 
 def per_flag_lr(train: DataFrame, flags: list[str], reg: float = 0.1, max_iter: int = 25) -> dict:
     """Multi-label: one logistic regression per flag over shared TF-IDF features."""
-    cv = CountVectorizer(inputCol="tokens", outputCol="tf", vocabSize=VOCAB).fit(train)
-    feats = cv.transform(train)
+    tf = HashingTF(inputCol="tokens", outputCol="tf", numFeatures=FEATURES)
+    feats = tf.transform(train)
     idf = IDF(inputCol="tf", outputCol="features").fit(feats)
     feats = idf.transform(feats)
     models = {f: LogisticRegression(featuresCol="features", labelCol=f, regParam=reg, maxIter=max_iter)
               .fit(feats.withColumn(f, F.col(f).cast("double"))) for f in flags}
-    return {"vectorizer": cv, "idf": idf, "models": models}
+    return {"vectorizer": tf, "idf": idf, "models": models}
 
 
 def predict_flags(fitted: dict, df: DataFrame, flags: list[str]) -> DataFrame:

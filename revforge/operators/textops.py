@@ -16,6 +16,7 @@ from ..functions.text import clean_ascii, drop_stop_words, join_tokens, word_tok
 from ..session import materialize
 from .joins import checked_broadcast
 from .layout import spread
+from .ordering import ordered_index
 
 # Vocabulary maps up to this many terms are broadcast; larger ones take a shuffle join (AQE
 # splits a hot term's partition).
@@ -25,14 +26,17 @@ PAD_ID, UNK_ID, BOS_ID, EOS_ID = 0, 1, 2, 3
 N_SPECIAL = 4
 
 
-def token_table(df: DataFrame, text: str = "review", key: str = "row_id") -> DataFrame:
-    """``key, pos, term``: one row per token of the printable-ASCII text (pos is 0-based)."""
-    return spread(df, key).select(key, F.posexplode(word_tokens(clean_ascii(text))).alias("pos", "term"))
+def token_table(df: DataFrame, text: str = "review", key: str = "row_id", clean: bool = False) -> DataFrame:
+    """``key, pos, term``: one row per token of the raw text (pos is 0-based).
+
+    ``clean`` deletes everything but printable ASCII first, as the classifiers' inputs have it."""
+    source = clean_ascii(text) if clean else F.col(text)
+    return spread(df, key).select(key, F.posexplode(word_tokens(source)).alias("pos", "term"))
 
 
 def tokenized(df: DataFrame, text: str = "review", out: str = "tokens", key: str = "row_id") -> DataFrame:
-    """F3 as an array column."""
-    return spread(df, key).withColumn(out, word_tokens(clean_ascii(text)))
+    """F3 as an array column, of the raw text."""
+    return spread(df, key).withColumn(out, word_tokens(text))
 
 
 def remove_stopwords(df: DataFrame, tokens: str = "tokens", out: str = "no_stopwords") -> DataFrame:
@@ -112,12 +116,16 @@ def map_terms(tokens: DataFrame, mapping: DataFrame, value: str, key: str = "row
         F.count(F.lit(1)).alias("n_tokens"))
 
 
-def vocab_fit(tokens: DataFrame, size: int) -> DataFrame:
-    """M4: the ``size`` most frequent lower-cased terms (ties by term), ids after the special ids.
+def vocab_fit(tokens: DataFrame, size: int | None = None) -> DataFrame:
+    """M4: all lower-cased terms, most frequent first (ties by term), ids after the special ids.
 
-    A bounded top-k (``TakeOrderedAndProject``) keeps the ranking off a single-partition window.
+    The whole vocabulary is numbered by range partitions. With ``size`` only that many terms are kept, by a
+    bounded top-k (``TakeOrderedAndProject``) that keeps the ranking off a single-partition window.
     """
     counts = tokens.groupBy(F.lower("term").alias("word")).agg(F.count(F.lit(1)).alias("freq"))
+    if size is None:
+        numbered = ordered_index(counts, [F.col("freq").desc(), F.col("word")], name="token_id")
+        return numbered.withColumn("token_id", F.col("token_id") - 1 + F.lit(N_SPECIAL))
     top = counts.orderBy(F.col("freq").desc(), F.col("word")).limit(size)
     w = Window.orderBy(F.col("freq").desc(), F.col("word"))
     return top.withColumn("token_id", (F.row_number().over(w) - 1 + F.lit(N_SPECIAL)).cast("int"))
@@ -127,20 +135,21 @@ def encode_fixed(docs: DataFrame, tokens: DataFrame, vocab: DataFrame, key: str
                  length: int = MAX_TOKENS) -> DataFrame:
     """Ids truncated and padded to exactly ``length`` (bos, ids..., eos, pad...), plus mask.
 
-    Truncation is a filter on ``pos`` before the vocabulary join; unknown terms get the unk id;
-    the vocabulary is bounded by its fitted size, so it is broadcast.
+    Truncation is a filter on ``pos`` before the vocabulary join; terms that the vocabulary lacks get the
+    unk id; the vocabulary is broadcast only behind a check of its size.
     """
     body = length - 2
     kept = tokens.filter(F.col("pos") < F.lit(body)).withColumn("word", F.lower("term"))
-    ids = kept.join(F.broadcast(vocab.select("word", "token_id")), "word", "left").select(
-        key, "pos", F.coalesce(F.col("token_id"), F.lit(UNK_ID)).alias("token_id"))
+    known = checked_broadcast(vocab.select("word", F.col("token_id").cast("long")), MAX_BROADCAST_TERMS)
+    ids = kept.join(known, "word", "left").select(
+        key, "pos", F.coalesce(F.col("token_id"), F.lit(UNK_ID).cast("long")).alias("token_id"))
     seqs = ids.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "token_id"))).alias("s"))
-    core = F.coalesce(F.transform(F.col("s"), lambda x: x["token_id"]), F.array().cast("array<int>"))
-    framed = F.concat(F.array(F.lit(BOS_ID)), core, F.array(F.lit(EOS_ID)))
+    core = F.coalesce(F.transform(F.col("s"), lambda x: x["token_id"]), F.array().cast("array<bigint>"))
+    framed = F.concat(F.array(F.lit(BOS_ID).cast("long")), core, F.array(F.lit(EOS_ID).cast("long")))
     out = docs.select(key).join(seqs, key, "left").withColumn("_f", framed)
-    pad = F.array_repeat(F.lit(PAD_ID), F.lit(length) - F.size("_f"))
+    pad = F.array_repeat(F.lit(PAD_ID).cast("long"), F.lit(length) - F.size("_f"))
     return out.select(
         key,
         F.concat(F.col("_f"), pad).alias("input_ids"),
-        F.concat(F.array_repeat(F.lit(1), F.size("_f")), pad).alias("attention_mask"),
+        F.concat(F.array_repeat(F.lit(1).cast("long"), F.size("_f")), pad).alias("attention_mask"),
     )

@@ -22,7 +22,7 @@ REPORT_CLASSES = [(LABEL_CODES[n], n) for n in REPORT_ORDER]
 
 def _tf(texts: DataFrame) -> DataFrame:
     """Term frequencies per text, written once (checkpoint) and reused by fit and predict."""
-    return materialize(nb.term_frequencies(textops.token_table(texts, key="uid"), key="uid"))
+    return materialize(nb.term_frequencies(textops.token_table(texts, key="uid", clean=True), key="uid"))
 
 
 def pair_problem(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:

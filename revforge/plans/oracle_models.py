@@ -87,7 +87,7 @@ preds AS (SELECT grp, uid, model, alpha, class AS pred FROM (
 
 def _tf_sql(src: str) -> str:
     return f"""tf AS (SELECT uid, lower(term) AS term, count(*) AS tf
-       FROM (SELECT uid, unnest({tok('review')}) AS term FROM {src}) GROUP BY uid, lower(term))"""
+       FROM (SELECT uid, unnest({tok('review', clean=True)}) AS term FROM {src}) GROUP BY uid, lower(term))"""
 
 
 PAIR = f"""WITH {PAIRS},
@@ -177,10 +177,10 @@ def _best(cv: str, metric: str) -> str:
 
 def _stacked() -> str:
     return f"""WITH {RAW}, {RECODED}, {PAIRS},
-st AS (SELECT 'reviews' AS dataset, row_id, review, label FROM recoded
-       UNION ALL SELECT 'conversations', CAST(conv_id AS BIGINT) * 1000 + CAST(turn AS BIGINT), text, role
+st AS (SELECT 'reviews' AS dataset, CAST(row_id AS VARCHAR) AS row_id, review, label FROM recoded
+       UNION ALL SELECT 'conversations', CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR), text, role
        FROM conversations
-       UNION ALL SELECT 'pairs', row_id, review, label FROM pairs),
+       UNION ALL SELECT 'pairs', CAST(row_id AS VARCHAR), review, label FROM pairs),
 sp0 AS (SELECT dataset, dataset || ':' || CAST(row_id AS VARCHAR) AS uid, review, label FROM st
         WHERE review IS NOT NULL AND review <> ''),
 codes AS (SELECT dataset, label, row_number() OVER (PARTITION BY dataset ORDER BY label) - 1 AS code

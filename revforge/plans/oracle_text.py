@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from ..functions.constants import NOUN_SUFFIX_RULES, STOP_WORDS
-from ..functions.text import CONTRACTION, NON_PRINTABLE, TOKEN
 from .oracle_prep import RAW
 
 
@@ -11,10 +10,25 @@ def _lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def tok(col: str) -> str:
-    clean = f"regexp_replace({col}, {_lit(NON_PRINTABLE)}, '', 'g')"
-    split = f"regexp_replace({clean}, {_lit(CONTRACTION)}, {_lit(chr(92) + '1 n' + chr(39) + 't')}, 'g')"
-    return f"regexp_extract_all({split}, {_lit(TOKEN)})"
+# the tokenizer's rules, written out here so that the SQL does not share the code it checks
+_TOKEN = (r"[\pL\pM\pN]+(?:(?:[-.'/_][\pL\pM\pN]+)|(?:[:,]\pN[\pL\pM\pN]*))*"
+          r"|[.]{3}|-{2}|[^\x00-\x20\x7F-\xA0\pZ\pL\pM\pN]")
+
+
+def _cut(n: int) -> str:
+    return f"[left(x, length(x) - {n}), right(x, {n})]"
+
+
+def tok(col: str, clean: bool = False) -> str:
+    source = f"regexp_replace({col}, '[^ -~]', '', 'g')" if clean else col
+    return f"""flatten(list_transform(regexp_extract_all({source}, {_lit(_TOKEN)}), lambda x: CASE
+      WHEN lower(x) IN ('cannot', 'more''n') THEN [left(x, length(x) - (CASE WHEN lower(x) = 'cannot' THEN 3 ELSE 2 END)),
+                                                  right(x, CASE WHEN lower(x) = 'cannot' THEN 3 ELSE 2 END)]
+      WHEN lower(x) IN ('gimme', 'gonna', 'gotta', 'lemme', 'wanna') THEN {_cut(2)}
+      WHEN lower(x) = 'd''ye' THEN {_cut(3)}
+      WHEN regexp_full_match(x, '.+(?:[nN]''[tT]|''(?:ll|LL|lL|Ll|[rRvV][eE]))') THEN {_cut(3)}
+      WHEN regexp_full_match(x, '.+''[sSmMdD]') THEN {_cut(2)}
+      ELSE [x] END))"""
 
 
 STOPS = "[" + ", ".join(_lit(w) for w in STOP_WORDS) + "]"
@@ -22,7 +36,7 @@ STOPS = "[" + ", ".join(_lit(w) for w in STOP_WORDS) + "]"
 TOKS = f"""toks AS (SELECT row_id, {tok('review')} AS t FROM raw)"""
 TOKEN_ROWS = """trows AS (SELECT row_id, unnest(t) AS term, unnest(generate_series(0, len(t) - 1)) AS pos
                 FROM toks)"""
-PRESENT_TOKS = f"""ptoks AS (SELECT row_id, {tok('review')} AS t FROM raw WHERE review IS NOT NULL AND review <> '')"""
+PRESENT_TOKS = f"""ptoks AS (SELECT row_id, {tok('review', clean=True)} AS t FROM raw WHERE review IS NOT NULL AND review <> '')"""
 PRESENT_ROWS = """prows AS (SELECT row_id, unnest(t) AS term, unnest(generate_series(0, len(t) - 1)) AS pos
                  FROM ptoks)"""
 BENCH_ROWS = f"""brows AS (SELECT unnest({tok('text')}) AS term FROM benchmark)"""
@@ -48,8 +62,7 @@ lemmas AS (SELECT t.term, coalesce(b.cand, t.term) AS lemma FROM terms t LEFT JO
 
 VOCAB = """vocab AS (
   SELECT word, freq, CAST(row_number() OVER (ORDER BY freq DESC, word) - 1 + 4 AS BIGINT) AS token_id
-  FROM (SELECT lower(term) AS word, count(*) AS freq FROM prows GROUP BY 1)
-  ORDER BY freq DESC, word LIMIT 1000)"""
+  FROM (SELECT lower(term) AS word, count(*) AS freq FROM prows GROUP BY 1))"""
 
 SQL = {
     "tokenize_words": f"""WITH {RAW}, {TOKS}

@@ -11,8 +11,6 @@ from ..operators.columns import filter_present
 from ..sources import bindings
 from .common import normalise
 
-VOCAB_SIZE = 1000
-
 
 def _docs(spark: SparkSession, root: str) -> DataFrame:
     return bindings.raw_reviews(spark, root).select("row_id", "review")
@@ -67,17 +65,17 @@ def q_stem_text(spark: SparkSession, root: str) -> DataFrame:
 
 
 def q_vocab_fit(spark: SparkSession, root: str) -> DataFrame:
-    toks = textops.token_table(filter_present(_docs(spark, root)))
-    return normalise(textops.vocab_fit(toks, VOCAB_SIZE))
+    toks = textops.token_table(filter_present(_docs(spark, root)), clean=True)
+    return normalise(textops.vocab_fit(toks))
 
 
 def q_encode_fixed(spark: SparkSession, root: str) -> DataFrame:
     docs = filter_present(_docs(spark, root))
-    toks = textops.token_table(docs)
-    enc = textops.encode_fixed(docs, toks, textops.vocab_fit(toks, VOCAB_SIZE))
+    toks = textops.token_table(docs, clean=True)
+    enc = textops.encode_fixed(docs, toks, textops.vocab_fit(toks))
     return normalise(enc.select(
         "row_id", F.size("input_ids").alias("n_ids"),
-        F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_real"),
+        F.aggregate("attention_mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_real"),
         F.md5(F.array_join("input_ids", " ")).alias("ids_md5")))
 
 

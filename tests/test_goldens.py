@@ -107,6 +107,19 @@ def test_tokenizer_splits_contractions(spark):
     assert toks == ["I", "do", "n't", "like", "it", ",", "ca", "n't", "stop", "!"]
 
 
+def test_tokenizer_keeps_raw_text(spark):
+    cases = {
+        "DON'T wait, I cannot": ["DO", "N'T", "wait", ",", "I", "can", "not"],
+        "well-known v3.5 costs 12.50... abc123": ["well-known", "v3.5", "costs", "12.50", "...", "abc123"],
+        "über\ncafé it's 1,250 wide -- ok.": ["über", "café", "it", "'s", "1,250", "wide", "--", "ok", "."],
+        "we'LL 'quote' Gonna": ["we", "'LL", "'", "quote", "'", "Gon", "na"],
+        "": [],
+    }
+    df = spark.createDataFrame([(k,) for k in [*cases, None]], "t string")
+    got = {r.t: r.x for r in df.select("t", word_tokens("t").alias("x")).collect()}
+    assert got == {**cases, None: None}
+
+
 def test_rename_and_drop_errors(reviews):
     import pytest
     with pytest.raises(KeyError):
