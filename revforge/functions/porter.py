@@ -1,4 +1,4 @@
-"""Porter (1980) suffix-stripping stemmer, as a small per-term helper.
+"""Porter suffix-stripping stemmer in its extended mode, as a small per-term helper.
 
 It is only ever applied to the *distinct* terms of a corpus inside an Arrow-batched pandas UDF
 (see ``operators.textops.stem_vocabulary``); the per-row work stays a join.
@@ -14,12 +14,10 @@ _VOWELS = frozenset("aeiou")
 
 
 def _is_cons(w: str, i: int) -> bool:
-    ch = w[i]
-    if ch in _VOWELS:
-        return False
-    if ch == "y":
-        return i == 0 or not _is_cons(w, i - 1)
-    return True
+    j = i
+    while j > 0 and w[j] == "y":  # a y is a vowel after a consonant; runs of them alternate
+        j -= 1
+    return (w[j] not in _VOWELS) == ((i - j) % 2 == 0)
 
 
 def _measure(stem: str) -> int:
@@ -49,6 +47,11 @@ def _cvc(w: str) -> bool:
     return w[-1] not in "wxy"
 
 
+def _short(w: str) -> bool:
+    """Consonant, vowel, consonant at the end; or a whole stem of a vowel and a consonant."""
+    return _cvc(w) or (len(w) == 2 and not _is_cons(w, 0) and _is_cons(w, 1))
+
+
 def _replace(w: str, rules, min_m: int) -> str:
     for suf, rep in rules:
         if w.endswith(suf):
@@ -57,9 +60,16 @@ def _replace(w: str, rules, min_m: int) -> str:
     return w
 
 
+# ---- fixed values: irregular forms of the extended algorithm (form -> stem) ----
+IRREGULAR = {
+    "sky": "sky", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "news": "news",
+    "innings": "inning", "inning": "inning", "outings": "outing", "outing": "outing",
+    "cannings": "canning", "canning": "canning", "howe": "howe", "proceed": "proceed",
+    "exceed": "exceed", "succeed": "succeed",
+}
 # Step tables of the published algorithm (suffix, replacement).
 _STEP2 = [("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"),
-          ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"),
+          ("bli", "ble"), ("alli", "al"), ("fulli", "ful"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"),
           ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"),
           ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble")]
 _STEP3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""),
@@ -69,22 +79,26 @@ _STEP4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "men
 
 
 def stem(word: str) -> str:
-    """Porter stem of one word (lower-cased first)."""
+    """Porter stem of one word (lower-cased first), in the extended mode of the algorithm."""
     w = word.lower()
+    if w in IRREGULAR:
+        return IRREGULAR[w]
     if len(w) <= 2:
         return w
     # step 1a
     if w.endswith("sses"):
         w = w[:-2]
     elif w.endswith("ies"):
-        w = w[:-2]
+        w = w[:-1] if len(w) == 4 else w[:-2]
     elif w.endswith("ss"):
         pass
     elif w.endswith("s"):
         w = w[:-1]
     # step 1b
     extra = False
-    if w.endswith("eed"):
+    if w.endswith("ied"):
+        w = w[:-1] if len(w) == 4 else w[:-2]
+    elif w.endswith("eed"):
         if _measure(w[:-3]) > 0:
             w = w[:-1]
     elif w.endswith("ed") and _has_vowel(w[:-2]):
@@ -96,13 +110,18 @@ def stem(word: str) -> str:
             w += "e"
         elif _ends_double_cons(w) and w[-1] not in "lsz":
             w = w[:-1]
-        elif _measure(w) == 1 and _cvc(w):
+        elif _measure(w) == 1 and _short(w):
             w += "e"
     # step 1c
-    if w.endswith("y") and _has_vowel(w[:-1]):
+    if w.endswith("y") and len(w) > 2 and _is_cons(w, len(w) - 2):
         w = w[:-1] + "i"
     # steps 2 and 3
-    w = _replace(w, _STEP2, 0)
+    if w.endswith("alli") and _measure(w[:-4]) > 0:
+        w = w[:-2]
+    if w.endswith("logi"):
+        w = w[:-1] if _measure(w[:-3]) > 0 else w
+    else:
+        w = _replace(w, _STEP2, 0)
     w = _replace(w, _STEP3, 0)
     # step 4
     for suf in _STEP4:
@@ -119,7 +138,7 @@ def stem(word: str) -> str:
     if w.endswith("e"):
         stem_ = w[:-1]
         m = _measure(stem_)
-        if m > 1 or (m == 1 and not _cvc(stem_)):
+        if m > 1 or (m == 1 and not _short(stem_)):
             w = stem_
     # step 5b
     if _measure(w) > 1 and _ends_double_cons(w) and w.endswith("l"):

@@ -28,11 +28,15 @@ def class_counts(df: DataFrame, label: str = "new_label") -> DataFrame:
 
 
 def numeric_sums(df: DataFrame) -> DataFrame:
-    """A2: sum of every numeric column, nulls skipped, all-null -> 0; one row per column."""
+    """A2: sum of every numeric column, nulls skipped, all-null -> 0; one row per column.
+
+    Whole numbers are added as decimals, which a sum of longs could overflow."""
     cols = [f.name for f in df.schema.fields if isinstance(f.dataType, _NUMERIC)]
     if not cols:
         return df.sparkSession.createDataFrame([], "column string, total double")
-    wide = df.agg(*[F.coalesce(F.sum(F.col(c)).cast("double"), F.lit(0.0)).alias(c) for c in cols])
+    whole = {f.name for f in df.schema.fields if isinstance(f.dataType, T.IntegralType)}
+    added = {c: F.col(f"`{c}`").cast("decimal(28,0)") if c in whole else F.col(f"`{c}`") for c in cols}
+    wide = df.agg(*[F.coalesce(F.sum(added[c]).cast("double"), F.lit(0.0)).alias(c) for c in cols])
     return wide.unpivot([], cols, "column", "total")
 
 

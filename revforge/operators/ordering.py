@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .joins import checked_broadcast
 
+MAX_BROADCAST_GROUPS = 100_000
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row index in the low 33 bits
 
 
@@ -48,7 +50,8 @@ def rank_within(df: DataFrame, groups: list[str], order: list[Column | str], nam
     """1-based row number inside each group under ``order``, without a per-group single task.
 
     A hot group is spread over many range partitions; its first global position is the group's
-    offset, found by one small aggregation (one row per group).
+    offset, found by one small aggregation (one row per group) and broadcast behind a check of its size, so
+    that the rows of a hot group are not hashed into one task.
     """
     ranked = ordered_index(df, [F.col(g) for g in groups] + list(order), name="_gpos",
                            num_partitions=num_partitions)
@@ -56,7 +59,7 @@ def rank_within(df: DataFrame, groups: list[str], order: list[Column | str], nam
     starts = starts.select([F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)] + ["_gstart"])
     cond = [ranked[g].eqNullSafe(starts[f"_g{i}"]) for i, g in enumerate(groups)]
     return (
-        ranked.join(starts, cond)
+        ranked.join(checked_broadcast(starts, MAX_BROADCAST_GROUPS), cond)
         .withColumn(name, (F.col("_gpos") - F.col("_gstart") + F.lit(1)).cast("long"))
         .drop("_gpos", "_gstart", *[f"_g{i}" for i in range(len(groups))])
     )

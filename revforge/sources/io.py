@@ -26,7 +26,7 @@ def null_na_strings(df: DataFrame) -> DataFrame:
     """Turn the cells a CSV reader treats as missing into null, string columns only."""
     out = []
     for f in df.schema.fields:
-        c = F.col(f.name)
+        c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.StringType):
             c = F.when(c.isin(NA_STRINGS), F.lit(None).cast("string")).otherwise(c).alias(f.name)
         out.append(c)
@@ -38,6 +38,7 @@ def scan_csv(spark: SparkSession, path: str, schema: T.StructType = REVIEW_SCHEM
     df = (
         spark.read.schema(schema)
         .option("header", True)
+        .option("enforceSchema", False)  # a header that names other columns is an error
         .option("multiLine", True)
         .option("escape", '"')
         .option("mode", "FAILFAST")
@@ -57,8 +58,7 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
     which is how one run's result directory is reset (S9)."""
     writer = df.write.mode("overwrite")
     if partition_by:
-        df.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        writer = writer.partitionBy(*partition_by)
+        writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by)
     writer.parquet(path)
 
 

@@ -3,6 +3,8 @@
 import os
 import tempfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from revforge.functions.scores import negate
@@ -43,6 +45,25 @@ def test_dataset_catalog_and_picks(spark):
     assert [r.file_name for r in io.pick_datasets(cat, [1, 2]).orderBy("rank").collect()] == ["mid.xlsx", "big.csv"]
 
 
+def test_csv_header_is_checked(spark):
+    d = tempfile.mkdtemp()
+    spark.createDataFrame([("x", 1)], "other string, row_id long").write.option("header", True).csv(os.path.join(d, "csv"))
+    with pytest.raises(Exception, match="(?i)header"):
+        io.scan_csv(spark, os.path.join(d, "csv")).collect()
+
+
+def test_partition_overwrite_leaves_the_session_alone(spark):
+    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    io.write_table(spark.createDataFrame([(1, "a")], "x long, p string"), tempfile.mkdtemp(), partition_by=["p"])
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode") == before
+
+
+def test_sums_of_large_longs(spark):
+    from revforge.operators.aggregates import numeric_sums
+    got = numeric_sums(spark.createDataFrame([(2 ** 62,), (2 ** 62,)], "n long")).first()
+    assert got.total == float(2 ** 63)
+
+
 def test_small_helpers(spark):
     df = spark.createDataFrame([("3",)], "label string")
     assert cast_label(df).schema["label"].dataType.typeName() == "integer"
