@@ -7,10 +7,13 @@
    similarity); the random numbers come from tables indexed by a hash of (shingle, sample).
 3. Texts that agree on a band share a bucket. Up to ``ALL_PAIRS`` texts: all pairs. Larger buckets are dealt in parts of
    ``PART`` texts; a text is paired with its nearest few by agreeing samples and with the part's hub (the
-   text that agrees most with the most frequent samples), and with the hub of all parts. Pairs grow
-   with the texts, not with their squares; variants of one original meet through it.
+   text that agrees most with the most frequent samples), and with the hub of all parts; variants of one
+   original meet through it.
 4. Pairs that agree on too few samples for ``SIMILARITY`` go; the others are verified by their exact weighted Jaccard
-   similarity on the whole texts. Verified links form classes (connected components).
+   similarity on the whole texts.
+5. Large buckets whose texts are not one component by then are searched whole (``crossing_pairs``): a prefix filter
+   on the weighted Jaccard similarity, rarest shingles first, meets every pair of two components that can
+   reach ``SIMILARITY``; these pairs are verified too. All verified links form classes (connected components).
 
 Exact copies are one text from the start: only the membership table is per document, and no group of
 copies is ever collected. Defined results: null or blank text is a class of its own per document;
@@ -25,7 +28,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, text_of, words_of
@@ -41,6 +44,7 @@ COMMON = 0.5
 ALL_PAIRS = 5
 PART = 1024
 NEAREST = 2
+EARLIER = 32
 LEAST_AGREE = 25  # of 48 samples: at similarity 0.8 fewer agree with probability below 1e-5
 _M = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = 1 << 16
@@ -213,8 +217,9 @@ def _agreeing(x: pd.Series, y: pd.Series) -> pd.Series:
     return pd.Series((a == b).sum(axis=1).astype("int32"))
 
 
-def candidate_pairs(signed: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b) of texts that may be similar. ``signed``: t, bands, sign (one row per text)."""
+def candidate_pairs(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (a < b) of texts that may be similar; band, key and t of the large buckets, whose pairs these
+    are not all of. ``signed``: t, bands, sign (one row per text)."""
     each = signed.select("t", F.posexplode("bands").alias("band", "key"))
     sizes = each.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     met = materialize(each.join(sizes, ["band", "key"]))
@@ -236,7 +241,66 @@ def candidate_pairs(signed: DataFrame) -> DataFrame:
     across = (large.join(best, ["band", "key"]).where(F.col("t") != F.col("hub"))
               .where(_agreement("sign", "hub_sign") >= LEAST_AGREE)
               .select(F.least("t", "hub").alias("a"), F.greatest("t", "hub").alias("b")))
-    return few.unionByName(found.where(F.col("a") != F.col("b")).select("a", "b")).unionByName(across).distinct()
+    pairs = few.unionByName(found.where(F.col("a") != F.col("b")).select("a", "b")).unionByName(across).distinct()
+    return pairs, met.where(F.col("n") > ALL_PAIRS).select("band", "key", "t")
+
+
+def _shingled(sampler: Sampler) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """One row per shingle of each text, with its weight and the text's."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = sampler.ready()
+        for batch in batches:
+            for i, g, words in zip(batch.column("i").to_pylist(), batch.column("g").to_pylist(), _rows(batch, "w")):
+                h, tf = shingles(words)
+                w = s.weights(h, tf).astype(np.float64)
+                n = len(h)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, i)), pa.array(np.full(n, g)), pa.array(h.view(np.int64)), pa.array(w), pa.array(np.full(n, w.sum()))],
+                                                 names=["i", "g", "h", "w", "total"])
+
+    return run
+
+
+def crossing_pairs(large: DataFrame, found: DataFrame, signed: DataFrame, docs: DataFrame, members: DataFrame, sampler: Sampler, similarity: float) -> DataFrame:
+    """Every pair (a < b) of texts of the large buckets that may be similar and that the links ``found`` do not connect.
+
+    A shingle that two components have is shared. Each text's shingles are ordered by (number of texts, hash), the
+    others first: a pair of similarity s or more shares one of those with which the text's weight first exceeds
+    (1 - s) of the whole. Its overlap is no more than what either text has from the first common shingle on, which drops
+    most pairs that have only a template in common before they are made. A pair is made where no earlier
+    shingle of both is known (of EARLIER, which saves repeats only; ``distinct`` drops those left).
+    """
+    texts = large.select("t").distinct()
+    inner = found.join(texts.withColumnRenamed("t", "a"), "a", "left_semi").join(texts.withColumnRenamed("t", "b"), "b", "left_semi")
+    roots = components(inner.select("a", "b")).select(F.col("node").alias("t"), "root")
+    rooted = materialize(large.join(roots, "t", "left").withColumn("root", F.coalesce("root", "t")))
+    mixed = rooted.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("lo") < F.col("hi"))
+    numbered = materialize(rooted.join(mixed, ["band", "key"], "left_semi").select("t", "root").distinct().withColumn("i", F.monotonically_increasing_id()))
+    groups = numbered.groupBy("root").agg(F.min("i").alias("g"))
+    numbered = materialize(numbered.join(groups, "root").select("t", "i", "g"))
+
+    words = texts_by_key(docs, members, numbered.select("t")).select("t", _word_hashes().alias("w"))
+    each = materialize(words.join(numbered, "t").select("i", "g", "w").mapInArrow(_shingled(sampler), "i long, g long, h long, w double, total double"))
+    counts = each.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("g").alias("lo"), F.max("g").alias("hi")).where(F.col("lo") < F.col("hi")).select("h", "n")
+    text = Window.partitionBy("i")
+    earlier = text.orderBy("n", "h").rowsBetween(Window.unboundedPreceding, -1)
+    first = text.orderBy("n", "h").rowsBetween(-EARLIER, -1)
+    keys = each.join(counts, "h").select("*", (F.sum("w").over(text) - F.coalesce(F.sum("w").over(earlier), F.lit(0.0))).alias("rest"))
+    keys = keys.where(F.col("rest") >= F.col("total") * (similarity - 1e-6)).withColumn("prior", F.collect_list("h").over(first))
+    keys = materialize(keys.select("h", "g", "i", "rest", "total", "prior"))
+
+    # overlap >= q * (sum of both weights), and at the first common shingle neither text's rest is less than the overlap
+    q = similarity / (1 + similarity) - 1e-6
+    sides = keys.groupBy("h", "g").agg(F.max(F.col("rest") - q * F.col("total")).alias("room"), F.min("total").alias("low"))
+    s1, s2 = (sides.select("h", *[F.col(c).alias(f"{c}{k}") for c in ("g", "room", "low")]) for k in (1, 2))
+    meet = (F.col("g1") < F.col("g2")) & (F.col("room1") >= q * F.col("low2")) & (F.col("room2") >= q * F.col("low1"))
+    met = s1.join(s2, "h").where(meet).select("h", "g1", "g2")
+    k1, k2 = (keys.select("h", *[F.col(c).alias(f"{c}{k}") for c in ("g", "i", "rest", "total", "prior")]) for k in (1, 2))
+    enough = (F.least("rest1", "rest2") >= q * (F.col("total1") + F.col("total2"))) & ~F.arrays_overlap("prior1", "prior2")
+    pairs = met.join(k1, ["h", "g1"]).join(k2, ["h", "g2"]).where(enough).select("i1", "i2").distinct()
+    named = materialize(numbered.join(signed.select("t", "sign"), "t").select("t", "i", "sign"))
+    n1, n2 = (named.select(*[F.col(c).alias(f"{c}{k}") for c in ("t", "i", "sign")]) for k in (1, 2))
+    pairs = pairs.join(n1, "i1").join(n2, "i2").where(_agreement("sign1", "sign2") >= LEAST_AGREE)
+    return pairs.select(F.least("t1", "t2").alias("a"), F.greatest("t1", "t2").alias("b"))
 
 
 def _verify(sampler: Sampler, similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -256,6 +320,25 @@ def _verify(sampler: Sampler, similarity: float) -> Callable[[Iterator[pa.Record
     return run
 
 
+def texts_by_key(docs: DataFrame, members: DataFrame, need: DataFrame) -> DataFrame:
+    """t and text of the texts ``need`` (t): of one row per text, so that copies do not meet."""
+    rep = members.join(need, "t").groupBy("t").agg(F.min("doc_id").alias("rep")).select(F.col("t").alias("rt"), "rep")
+    keyed = docs.select("doc_id", F.md5(text_of().cast("binary")).alias("t"), text_of().alias("text"))
+    return keyed.join(rep, keyed["doc_id"].eqNullSafe(rep["rep"]) & (keyed["t"] == rep["rt"])).select("t", "text").dropDuplicates(["t"])
+
+
+def verified(docs: DataFrame, members: DataFrame, pairs: DataFrame, sampler: Sampler, similarity: float) -> DataFrame:
+    """Of ``pairs`` (a, b) those that are similar, with their similarity."""
+    need = pairs.select(F.col("a").alias("t")).unionByName(pairs.select(F.col("b").alias("t"))).distinct()
+    texts = materialize(texts_by_key(docs, members, need))
+    ta = texts.select(F.col("t").alias("a"), F.col("text").alias("xa"))
+    tb = texts.select(F.col("t").alias("b"), F.col("text").alias("xb"))
+    both = pairs.join(ta, "a").join(tb, "b")
+    hashes = lambda c: F.transform(words_of(F.lower(F.col(c))), lambda w: F.xxhash64(w))
+    both = both.select("a", "b", hashes("xa").alias("wa"), hashes("xb").alias("wb"))
+    return materialize(both.mapInArrow(_verify(sampler, similarity), "a string, b string, similarity double"))
+
+
 def links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(members, links): doc_id and text key t of every row; verified links (a, b, similarity) between distinct texts."""
     key = F.md5(text_of().cast("binary")).alias("t")
@@ -266,20 +349,12 @@ def links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, D
     full = F.size("w") > 0
     signed = words.where(full).mapInArrow(_sign(sampler), "t string, bands array<long>, sign binary")
     signed = materialize(signed)
-    one = signed.groupBy("t").agg(F.first("bands").alias("bands"), F.first("sign").alias("sign"))  # copies sign alike
-    pairs = materialize(candidate_pairs(materialize(one)))
-    # the words of the texts in pairs: of one row per text, so that copies do not meet
-    need = pairs.select(F.col("a").alias("t")).unionByName(pairs.select(F.col("b").alias("t"))).distinct()
-    rep = members.join(need, "t").groupBy("t").agg(F.min("doc_id").alias("rep")).select(F.col("t").alias("rt"), "rep")
-    keyed = docs.select("doc_id", key, text_of().alias("text"))
-    texts = keyed.join(rep, keyed["doc_id"].eqNullSafe(rep["rep"]) & (keyed["t"] == rep["rt"])).select("t", "text").dropDuplicates(["t"])
-    texts = materialize(texts)
-    ta = texts.select(F.col("t").alias("a"), F.col("text").alias("xa"))
-    tb = texts.select(F.col("t").alias("b"), F.col("text").alias("xb"))
-    both = pairs.join(ta, "a").join(tb, "b")
-    hashes = lambda c: F.transform(words_of(F.lower(F.col(c))), lambda w: F.xxhash64(w))
-    both = both.select("a", "b", hashes("xa").alias("wa"), hashes("xb").alias("wb"))
-    found = materialize(both.mapInArrow(_verify(sampler, similarity), "a string, b string, similarity double"))
+    one = materialize(signed.groupBy("t").agg(F.first("bands").alias("bands"), F.first("sign").alias("sign")))  # copies sign alike
+    pairs, large = candidate_pairs(one)
+    found = verified(docs, members, materialize(pairs), sampler, similarity)
+    if large.limit(1).count():
+        rest = materialize(crossing_pairs(large, found, one, docs, members, sampler, similarity))
+        found = found.unionByName(verified(docs, members, rest, sampler, similarity))
     return members, found
 
 

@@ -114,6 +114,53 @@ def test_large_bucket_meets_through_its_hub(spark):
     assert (got[got.doc_id >= 1500].class_id >= 1500).all()
 
 
+def test_large_buckets_keep_every_class(spark):
+    """Pairs of near copies among texts of one template, and two interleaved groups, against brute force."""
+    rng = np.random.default_rng(7)
+    fresh = lambda n: [f"z{x}" for x in rng.integers(0, 10**12, n)]
+
+    def edited(w, spots):
+        w = list(w)
+        for j in spots:
+            w[j] = fresh(1)[0]
+        return w
+
+    template = fresh(200)
+    rows = [template + fresh(32) for _ in range(1000)]  # 0.75 similar to each other
+    rows += [rows[i][:212] + fresh(20) for i in range(0, 1000, 20)]  # 50 near copies, 0.84 similar
+    first = fresh(150)
+    second = edited(first, [20, 50, 80, 110])  # 0.76 similar to the first
+    for i in range(300):
+        rows += [edited(x, rng.choice(np.arange(120, 150), 1)) for x in (first, second)]
+    rows += [fresh(60) for _ in range(1200)]
+    order = rng.permutation(len(rows))
+    rows = [rows[i] for i in order]
+    sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in rows]
+    having = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            having.setdefault(x, []).append(i)
+    having = {x: np.array(v) for x, v in having.items()}
+    root = list(range(len(rows)))
+
+    def top(i):
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for i, s in enumerate(sets):
+        n = np.zeros(len(rows), np.int64)
+        for x in s:
+            n[having[x]] += 1
+        for j in np.flatnonzero(n):
+            if j > i and n[j] / (len(s) + len(sets[j]) - n[j]) >= neardup.SIMILARITY:
+                a, b = sorted((top(i), top(int(j))))
+                root[b] = a
+    got = neardup.near_duplicates(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")).collect()
+    wrong = [r.doc_id for r in got if r.class_id != top(r.doc_id)]
+    assert not wrong, len(wrong)
+
+
 def test_weighted_sampling_agrees_with_similarity():
     s = neardup.Sampler(np.ones(1 << neardup.DF_BITS)).ready()
     rng = np.random.default_rng(3)
