@@ -3,7 +3,7 @@
 The tokenizer splits at white space before anything else, so a text's ids are its words' ids in a row.
 Words repeat; each worker keeps the ids of the words it has met (the older half goes when full) and asks the
 tokenizer for new words only. A text with separators on which Python and the tokenizer
-disagree is encoded whole.
+disagree, or with the literal of an added token such as <|endoftext|>, is encoded whole.
 """
 
 from __future__ import annotations
@@ -48,7 +48,7 @@ class WordTokenizer:
             path = public_tokenizers.path("word_bpe_49k.json")
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks run side by side already
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.added = [t.content.lower() for t in self.tok.get_added_tokens_decoder().values()]  # lower-casing words could make a literal
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -69,7 +69,8 @@ class WordTokenizer:
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text, with the end token."""
         for text in texts:
-            if _ODD.search(text):
+            low = text.lower()
+            if _ODD.search(text) or any(x in low for x in self.added):
                 yield _packed(self.tok.encode(text, add_special_tokens=False).ids) + _END
                 continue
             words = _words(text)

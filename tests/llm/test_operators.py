@@ -220,6 +220,15 @@ def test_packing(spark, odd, none):
     assert fill.sum() > 0 and packing.pack(none).count() == 0
 
 
+def test_packing_keeps_special_tokens(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))  # the plain call
+    t = {1: "a <|endoftext|> b", 2: "x<|startoftext|>y <|endoftext|><|endoftext|>.", 3: "A <|ENDOFTEXT|> B", 4: "<| endoftext |>", 5: "a b."}
+    got = packing.pack(spark.createDataFrame(list(t.items()), "doc_id long, text string"), with_ids=True).collect()
+    assert {r.doc_id: np.frombuffer(bytes(r.ids), "<u4").tolist() for r in got} == {i: tok.encode(x, add_special_tokens=False).ids + [1] for i, x in t.items()}
+
+
 def test_repeats(spark, odd, none):
     for df in (docs_of(spark), odd.where("doc_id is not null")):
         got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.substring_digest(df).collect()}
