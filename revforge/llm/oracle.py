@@ -101,4 +101,78 @@ SELECT doc_id, size, ss AS source_size, target, (copies * size)::BIGINT AS taken
 FROM t6 JOIN s4 ON t6.source IS NOT DISTINCT FROM s4.source
 """
 
-SQL = {"op6_quality_rules": OP6, "op7_chat_format": OP7, "op9_mix_sources": OP9}
+# crc32 of a string's bytes: bit by bit, polynomial 0xEDB88320
+CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(hex(encode({0}))) // 2),
+      lambda i: ('0x' || substr(hex(encode({0})), (2 * i + 1)::INT, 2))::BIGINT)),
+      lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END)), 4294967295::BIGINT)"""
+
+OP11 = r"""
+WITH RECURSIVE
+f AS (SELECT *, coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+                || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars, '-') AS head,
+             CASE WHEN doc_id IS NOT NULL AND """ + CRC.format("doc_id::VARCHAR") + r""" % 5 = 0
+                  THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS later FROM documents),
+l AS (SELECT doc_id, source, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+             sha256(head || coalesce(octet_length(encode(later)) || ':' || later, '-')) AS found FROM f),
+o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, row_number() OVER () AS rid FROM l),
+inner_ AS (SELECT 0 AS lev, source, pos AS i, leaf AS h, count(*) OVER (PARTITION BY source) AS n FROM o
+           UNION ALL
+           SELECT lev + 1, source, i // 16, sha256(string_agg(h, '' ORDER BY i)), any_value((n + 15) // 16) FROM inner_ WHERE n > 1 GROUP BY lev, source, i // 16),
+sub AS (SELECT source, h AS subroot, lev AS depth, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS s FROM inner_ WHERE n = 1),
+outer_ AS (SELECT 0 AS lev, s AS i, subroot AS h, (SELECT count(*) FROM sub) AS n FROM sub
+           UNION ALL SELECT lev + 1, i // 16, sha256(string_agg(h, '' ORDER BY i)), any_value((n + 15) // 16) FROM outer_ WHERE n > 1 GROUP BY lev, i // 16),
+root AS (SELECT h AS root, lev AS depth FROM outer_ WHERE n = 1),
+run AS (SELECT rid, lev, i, h, pos // pow(16, lev)::BIGINT = i AS own FROM o JOIN inner_ ON o.source IS NOT DISTINCT FROM inner_.source
+               AND n > 1 AND i // 16 = pos // pow(16, lev + 1)::BIGINT
+        UNION ALL
+        SELECT rid, depth + lev, i, h, s // pow(16, lev)::BIGINT = i FROM o JOIN sub ON o.source IS NOT DISTINCT FROM sub.source JOIN outer_ ON n > 1 AND i // 16 = s // pow(16, lev + 1)::BIGINT),
+proof AS (SELECT rid, sha256(coalesce(string_agg(h, '' ORDER BY lev, i) FILTER (NOT own), '')) AS proof_sha256, max(lev) AS top FROM run GROUP BY rid),
+fold AS (SELECT rid, 0 AS lev, found AS cur FROM o
+         UNION ALL
+         SELECT fold.rid, fold.lev + 1, sha256(string_agg(CASE WHEN own THEN cur ELSE h END, '' ORDER BY i))
+         FROM fold JOIN run ON fold.rid = run.rid AND fold.lev = run.lev GROUP BY fold.rid, fold.lev)
+SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, cur AS folded_root, cur = root AS verified
+FROM o JOIN sub ON o.source IS NOT DISTINCT FROM sub.source CROSS JOIN root LEFT JOIN proof USING (rid)
+JOIN fold ON fold.rid = o.rid AND fold.lev = coalesce(proof.top + 1, 0)
+"""
+
+OP12 = r"""
+WITH RECURSIVE
+c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+             coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+k AS (SELECT *, """ + CRC.format("key") + r""" % 20 AS kind FROM c),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+             CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, copy
+      FROM (SELECT *, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM k) WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER w AS n, count(*) OVER (PARTITION BY conv_id) AS size, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen,
+             coalesce(nullif(substr(role, 1, 1), ''), ' ') AS ini, lead(coalesce(nullif(substr(role, 1, 1), ''), ' ')) OVER w AS next_
+      FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy)),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN seen > 1 THEN 'd'
+                     WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE '-' END AS fault FROM o),
+-- p: what the rows so far end with (n none, s, u, a); t: what a given or inserted turn becomes there
+st(p, t) AS (VALUES ('n', 'u'), ('s', 'u'), ('u', 'a'), ('a', 'u')),
+kp(ini, p, q) AS (VALUES ('s', 'n', 's'), ('u', 'n', 'u'), ('u', 's', 'u'), ('u', 'a', 'u'), ('a', 'u', 'a')),
+e AS (SELECT conv_id, n, size, p, p AS q, 2 AS cost, 'D' AS edit, '' AS line FROM f, st
+      UNION ALL SELECT conv_id, n, size, p, q, CASE fault WHEN 't' THEN 5 ELSE 0 END, 'K', role || ':' || text || chr(10) FROM f JOIN kp USING (ini) WHERE fault IN ('t', '-')
+      UNION ALL SELECT conv_id, n, size, p, t, CASE fault WHEN 't' THEN 6 ELSE 1 END, 'R', CASE t WHEN 'u' THEN 'user:' ELSE 'assistant:' END || text || chr(10) FROM f, st WHERE fault IN ('t', '-')),
+ins(p, q, cost, edit, line) AS (SELECT p, p, 0, '', '' FROM st UNION ALL SELECT p, t, 5, 'I', CASE t WHEN 'u' THEN 'user:' ELSE 'assistant:' END || chr(10) FROM st
+      UNION ALL SELECT st.p, s2.t, 10, 'II', CASE st.t WHEN 'u' THEN 'user:' || chr(10) || 'assistant:' || chr(10) ELSE 'assistant:' || chr(10) || 'user:' || chr(10) END
+                FROM st JOIN st AS s2 ON s2.p = st.t),
+-- backwards: the least (cost, edits) from each state, the lines with it
+b AS (SELECT conv_id, size + 1 AS n, ins.p, arg_min(struct_pack(cost := ins.cost, edit := ins.edit, line := ins.line), struct_pack(cost := ins.cost, edit := ins.edit)) AS v
+      FROM (SELECT DISTINCT conv_id, size FROM f), ins WHERE ins.q IN ('n', 'a') GROUP BY ALL
+      UNION ALL
+      SELECT b.conv_id, b.n - 1, ins.p,
+             arg_min(struct_pack(cost := ins.cost + e.cost + v.cost, edit := ins.edit || e.edit || v.edit, line := ins.line || e.line || v.line),
+                     struct_pack(cost := ins.cost + e.cost + v.cost, edit := ins.edit || e.edit || v.edit))
+      FROM b JOIN e ON e.conv_id IS NOT DISTINCT FROM b.conv_id AND e.n = b.n - 1 AND e.q = b.p JOIN ins ON ins.q = e.p GROUP BY b.conv_id, b.n, ins.p),
+a AS (SELECT conv_id, v.cost AS cost, v.edit AS audit, sha256(rtrim_one(v.line)) AS repaired_sha256 FROM b WHERE n = 1 AND p = 'n'),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'b') AS blank,
+             count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+             count(*) FILTER (next_ IS NOT NULL AND ini || next_ NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS i LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN a ON a.conv_id IS NOT DISTINCT FROM i.conv_id
+""".replace("rtrim_one(v.line)", "CASE WHEN v.line = '' THEN '' ELSE left(v.line, (length(v.line) - 1)::INT) END")
+
+SQL = {"op6_quality_rules": OP6, "op7_chat_format": OP7, "op9_mix_sources": OP9, "op11_merkle_manifest": OP11, "op12_conversation_repair": OP12}

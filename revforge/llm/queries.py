@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat, mixing, neardup, packing, pii, quality, sharding, substrings, toxicity
+from . import ann, chat, langid, merkle, mixing, neardup, packing, pii, quality, repair, sharding, substrings, toxicity
 from .common import table
 from .oracle import SQL
 
@@ -54,8 +54,21 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_digest(table(spark, sf_dir, "conversations"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_id(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_personal_data, op2_near_duplicates, op3_nearest_vectors, op4_pack, op5_repeated_substrings, op6_quality_rules,
-        op7_chat_format, op8_toxicity, op9_mix_sources, op10_shard)
+        op7_chat_format, op8_toxicity, op9_mix_sources, op10_shard, op11_merkle_manifest, op12_conversation_repair,
+        op13_language_id)
 }
