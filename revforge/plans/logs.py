@@ -34,7 +34,7 @@ def q_best_epoch(spark: SparkSession, root: str) -> DataFrame:
 
 def q_loss_carry_stream(spark: SparkSession, root: str) -> DataFrame:
     from ..streaming.loss_stream import loss_carry_stream
-    c = loss_carry_stream(spark, bindings.training_log(spark, root))
+    c = loss_carry_stream(spark, bindings.training_log_stream(spark, root))
     return normalise(c.select("run", "seq", "training_loss", "validation_loss"))
 
 

@@ -79,10 +79,21 @@ def pair_class_reviews(spark: SparkSession, root: str) -> DataFrame:
 
 def training_log(spark: SparkSession, root: str) -> DataFrame:
     """Log entries: run, ordering (ts, seq), kind train/eval, loss."""
-    e = read_table(spark, root, "events").filter(F.col("event_type").isin("click", "purchase"))
+    return _log_of(read_table(spark, root, "events"))
+
+
+def training_log_stream(spark: SparkSession, root: str) -> DataFrame:
+    """The same entries as a stream over the files of the table."""
+    path = f"{root}/events.parquet"
+    # as a pattern, since a stream's plain path must be a folder and the table may be a single file
+    return _log_of(spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[t]"))
+
+
+def _log_of(events: DataFrame) -> DataFrame:
+    e = events.filter(F.col("event_type").isin("click", "purchase"))
     return e.select(
         F.col("user_id").cast("long").alias("run"),
-        F.col("ts"),
+        F.col("ts").cast("timestamp").alias("ts"),
         F.col("event_id").cast("long").alias("seq"),
         F.when(F.col("event_type") == "click", F.lit("train")).otherwise(F.lit("eval")).alias("kind"),
         F.col("value").alias("loss"),

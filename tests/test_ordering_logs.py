@@ -104,3 +104,53 @@ def _check_top_k(rows, got):
         ranked = sorted((r for r in rows if r[1] == c), key=lambda r: (-r[2], r[0]))[:40]
         want.update({(c, i + 1): r[0] for i, r in enumerate(ranked)})
     assert got == want
+
+
+def _entries():
+    import random
+
+    rng = random.Random(7)
+    t0 = dt.datetime(2024, 1, 1)
+    return [(rng.randint(1, 4), t0 + dt.timedelta(seconds=i * 40 + rng.random()), i, rng.choice(["train", "eval"]), rng.choice([None, float(i), i / 2])) for i in range(300)]
+
+
+def _carried(entries):
+    """The carry of a whole log, one entry after the other."""
+    last, out = {}, []
+    for run, ts, seq, kind, loss in sorted(entries, key=lambda e: (e[1], e[2])):
+        if kind == "eval":
+            out.append((run, seq, last.get(run), loss))
+        elif loss is not None:
+            last[run] = loss
+    return sorted(out, key=str)
+
+
+def test_stream_holds_late_and_repeated_entries_and_restarts(spark, tmp_path):
+    """Entries arrive shuffled within the delay and repeatedly, over three starts of the query; then the log is closed."""
+    import random
+
+    from revforge.streaming import loss_stream as ls
+    entries = _entries()
+    late = sorted(entries, key=lambda e: e[1].timestamp() + random.Random(e[2]).uniform(0, 2000))  # up to 2,000 s out of order
+    source, markers, sink, ckpt = (str(tmp_path / x) for x in ("log", "markers", "sink", "state"))
+    spark.createDataFrame([], ls.LOG_SCHEMA).write.parquet(markers)
+    spark.createDataFrame([], ls.LOG_SCHEMA).write.parquet(source)
+    seen = []
+    for k in range(3):
+        part = late[k * 100:(k + 1) * 100] + late[max(0, k * 100 - 5):k * 100]  # some once more
+        spark.createDataFrame(part, ls.LOG_SCHEMA).repartition(3).write.mode("append").parquet(source)
+        log = spark.readStream.schema(ls.LOG_SCHEMA).option("maxFilesPerTrigger", 3).parquet(source)
+        ls.run_available(ls.carry(ls.with_markers(log, markers), "1 hour"), sink, ckpt)
+        seen.append(spark.read.schema(ls.OUT_SCHEMA).parquet(sink).count())
+    assert 0 < seen[0] < seen[1] < seen[2] < sum(e[3] == "eval" for e in entries)  # the last hour waits
+    ls.close_log(spark, markers)
+    ls.run_available(ls.carry(ls.with_markers(log, markers), "1 hour"), sink, ckpt)
+    got = spark.read.schema(ls.OUT_SCHEMA).parquet(sink).collect()
+    assert sorted(((r.run, r.seq, r.training_loss, r.validation_loss) for r in got), key=str) == _carried(entries)
+
+
+def test_settle():
+    from revforge.streaming.loss_stream import settle
+    waiting = [(3000, 2, "eval", 0.5), (1000, 1, "train", 2.0), (3000, 2, "eval", 0.5), (2000, 5, "train", None), (9000, 6, "eval", None)]
+    assert settle(waiting, 3, None) == ([(3000, 2, 2.0, 0.5)], [(9000, 6, "eval", None)], 2.0)
+    assert settle(waiting, 0, 1.0) == ([], waiting, 1.0)
