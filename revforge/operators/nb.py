@@ -22,13 +22,14 @@ score rounded to 6 decimals, lowest class on ties.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .joins import checked_broadcast
+from .joins import checked_broadcast, term_join
 
 ALL = -1
 VOCAB = -1  # class value of the per-term marker rows in the weight table (real classes are >= 0)
@@ -87,33 +88,61 @@ def fit(rows: DataFrame, tf: DataFrame, models: list[int]) -> NBModel:
     return NBModel(counts, vocab, classes, weights)
 
 
+def _slots(model: NBModel) -> list[tuple[tuple, list]]:
+    """((grp, model), its classes with their counts), in order: groups x folds x classes rows, settings of the run."""
+    found: dict[tuple, list] = {}
+    for r in model.classes.collect():
+        found.setdefault((r["grp"], r["model"]), []).append(r)
+    return [(k, sorted(v, key=lambda r: r["class"])) for k, v in sorted(found.items())]
+
+
+def term_vectors(model: NBModel, slots: list[tuple[tuple, list]], alphas: list[float]) -> DataFrame:
+    """One row per term: a column per (group, model), 1 where the term is in its vocabulary, and a column per (group,
+    model, class, smoothing) with ``ln((c + a) / a)``."""
+    cols = []
+    for j, ((grp, m), classes) in enumerate(slots):
+        own = (F.col("grp") == grp) & (F.col("model") == m)
+        cols.append(F.max(F.when(own & (F.col("class") == VOCAB), 1)).alias(f"v{j}"))
+        for i, c in enumerate(classes):
+            count = F.max(F.when(own & (F.col("class") == c["class"]), F.col("c")))
+            cols += [F.log((count + F.lit(float(a))) / F.lit(float(a))).alias(f"w{j}_{i}_{n}") for n, a in enumerate(alphas)]
+    return model.weights.groupBy("term").agg(*cols)
+
+
 def predict(model: NBModel, targets: DataFrame, tf: DataFrame, alphas: list[float] | None = None) -> DataFrame:
     """``grp, uid, model, alpha, pred`` for each target row ``grp, uid, model``.
 
-    One join of the target texts' terms to the weight table and one aggregate per (text, model,
-    class): the marker rows give L_d, the class rows one sparse sum per smoothing value (columns,
-    not exploded rows, so a search over many values does not multiply the joined rows)."""
+    A term's weights for all groups, models, classes and smoothing values are one row (``term_vectors``), so a text's
+    terms are looked up once whatever it is scored for, and one aggregate per text gives all sums; the target rows
+    then pick theirs. Priors and totals are numbers of the plan (one per group, model and class)."""
     alphas = alphas or [1.0]
-    t = targets.join(tf, "uid")
-    joined = t.join(checked_broadcast(model.weights, MAX_BROADCAST_MODEL_TERMS), ["grp", "model", "term"])
-    sums = [F.sum(F.col("tf") * F.log((F.col("c") + F.lit(float(a))) / F.lit(float(a)))).alias(f"_s{i}")
-            for i, a in enumerate(alphas)]
-    per_class = joined.groupBy("grp", "uid", "model", "class").agg(F.sum("tf").alias("_n"), *sums)
-    in_vocab = per_class.filter(F.col("class") == VOCAB).select("grp", "uid", "model", F.col("_n").alias("L"))
-    sparse = per_class.filter(F.col("class") != VOCAB).drop("_n")
-    per_alpha = F.inline(F.array(*[F.struct(F.lit(float(a)).alias("alpha"), F.col(f"_s{i}").alias("S"))
-                                   for i, a in enumerate(alphas)]))
-    base = (targets.join(checked_broadcast(model.classes, MAX_BROADCAST_CLASS_ROWS), ["grp", "model"])
-            .join(in_vocab, ["grp", "uid", "model"], "left")
-            .join(sparse, ["grp", "uid", "model", "class"], "left")
-            .select("grp", "uid", "model", "class", "log_prior", "ntok", "vsize", "L", per_alpha))
-    a = F.col("alpha")
-    score = (F.col("log_prior")
-             + F.coalesce(F.col("L"), F.lit(0)) * (F.log(a) - F.log(F.col("ntok") + a * F.col("vsize")))
-             + F.coalesce(F.col("S"), F.lit(0.0)))
-    best = base.withColumn("score", F.round(score, ROUND)).groupBy("grp", "uid", "model", "alpha").agg(
-        F.min(F.struct((-F.col("score")).alias("neg"), F.col("class").alias("cls"))).alias("b"))
-    return best.select("grp", "uid", "model", "alpha", F.col("b.cls").alias("pred"))
+    slots = _slots(model)
+    if not slots:
+        return targets.select("grp", "uid", "model", F.lit(None).cast("double").alias("alpha"), F.lit(None).cast("int").alias("pred")).limit(0)
+    needed = tf.join(targets.select("uid").distinct(), "uid", "left_semi")
+    vectors = term_vectors(model, slots, alphas)
+    joined = term_join(needed, vectors, "term", max_rows=MAX_BROADCAST_MODEL_TERMS)
+    sums = [F.sum(F.when(F.col(f"v{j}").isNotNull(), F.col("tf"))).alias(f"v{j}") for j in range(len(slots))]
+    sums += [F.sum(F.col("tf") * F.col(f"w{j}_{i}_{n}")).alias(f"w{j}_{i}_{n}")
+             for j, (_, classes) in enumerate(slots) for i in range(len(classes)) for n in range(len(alphas))]
+    per_text = joined.groupBy("uid").agg(*sums)
+
+    def best(j: int, n: int) -> F.Column:
+        """The class with the greatest rounded score, the lowest one on ties."""
+        a, ranked = alphas[n], []
+        for i, c in enumerate(slots[j][1]):
+            score = (F.lit(c["log_prior"]) + F.coalesce(F.col(f"v{j}"), F.lit(0)) * F.lit(math.log(a) - math.log(c["ntok"] + a * c["vsize"]))
+                     + F.coalesce(F.col(f"w{j}_{i}_{n}"), F.lit(0.0)))
+            ranked.append(F.struct((-F.round(score, ROUND)).alias("neg"), F.lit(c["class"]).alias("cls")))
+        return F.array_min(F.array(*ranked))["cls"]
+
+    scored = targets.join(per_text, "uid", "left")
+    picked = None
+    for j, ((grp, m), _) in enumerate(slots):
+        preds = F.array(*[F.struct(F.lit(float(a)).alias("alpha"), best(j, n).alias("pred")) for n, a in enumerate(alphas)])
+        own = (F.col("grp") == grp) & (F.col("model") == m)
+        picked = F.when(own, preds) if picked is None else picked.when(own, preds)
+    return scored.select("grp", "uid", "model", F.explode(picked).alias("p")).select("grp", "uid", "model", "p.alpha", "p.pred")
 
 
 def validation_targets(rows: DataFrame) -> DataFrame:
@@ -121,6 +150,13 @@ def validation_targets(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("split") == "train").select("grp", "uid", F.col("fold").alias("model"))
 
 
+def all_targets(rows: DataFrame, models: list[int]) -> DataFrame:
+    """Validation targets, and each test row with every one of ``models``: one pass scores both, the chosen model's rows
+    are picked afterwards."""
+    test = rows.filter(F.col("split") == "test").select("grp", "uid", F.explode(F.array(*[F.lit(m) for m in models])).alias("model"))
+    return validation_targets(rows).unionByName(test)
+
+
 def holdout_targets(rows: DataFrame, model_of_group: DataFrame | None = None) -> DataFrame:
     """Each test row is scored by its group's chosen model (``grp, model``), else by ``ALL``."""
     test = rows.filter(F.col("split") == "test").select("grp", "uid")

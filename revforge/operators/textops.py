@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import MAX_TOKENS, NOUN_SUFFIX_RULES, STOP_WORDS
-from ..functions.porter import porter_stem_udf
+from ..functions.stem import stem
 from ..functions.text import clean_ascii, drop_stop_words, join_tokens, word_tokens
 from ..session import materialize
-from .joins import checked_broadcast
+from .joins import checked_broadcast, term_join
 from .layout import spread
 from .ordering import ordered_index
 
@@ -100,16 +100,15 @@ def lemma_vocabulary(vocab: DataFrame, lex: DataFrame) -> DataFrame:
 
 
 def stem_vocabulary(tokens: DataFrame) -> DataFrame:
-    """``term -> stem`` computed once per distinct term in an Arrow-batched pandas UDF."""
+    """``term -> stem`` computed once per distinct term, in column expressions."""
     vocab = tokens.select("term").distinct()
-    # AQE coalesces the small distinct output into few partitions; spread it before the Python step
-    return spread(vocab, "term").select("term", porter_stem_udf(F.col("term")).alias("stem"))
+    # AQE coalesces the small distinct output into few partitions; spread it before the long expression
+    return spread(vocab, "term").select("term", stem(F.col("term")).alias("stem"))
 
 
 def map_terms(tokens: DataFrame, mapping: DataFrame, value: str, key: str = "row_id") -> DataFrame:
     """Join each token to its vocabulary value and re-assemble each text in token order."""
-    m = checked_broadcast(mapping, MAX_BROADCAST_TERMS)
-    mapped = tokens.join(m, "term", "left").withColumn(value, F.coalesce(F.col(value), F.col("term")))
+    mapped = term_join(tokens, mapping, "term", "left", MAX_BROADCAST_TERMS).withColumn(value, F.coalesce(F.col(value), F.col("term")))
     return mapped.groupBy(key).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", value))), lambda x: x[value]),
                      " ").alias(value),

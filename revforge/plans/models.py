@@ -83,14 +83,83 @@ def q_cv_multiclass(spark, root):
                      .withColumnRenamed("model", "fold"))
 
 
-def q_holdout_multiclass(spark, root):
+def scored_parts(rows: DataFrame, tf: DataFrame, folds: int) -> DataFrame:
+    """``grp, uid, model, split, truth, pred``: validation rows by the model that left them out, test rows by every model
+    (and the one of all training rows), in one pass; written, as reports read it more than once."""
+    models = [nb.ALL, *range(folds)]
+    preds = nb.predict(nb.fit(rows, tf, models), nb.all_targets(rows, models), tf)
+    return materialize(preds.join(rows.select("grp", "uid", F.col("class").alias("truth"), "split"), ["grp", "uid"])
+                       .select("grp", "uid", "model", "split", "truth", "pred"))
+
+
+def chosen_model(rows: DataFrame, scores: DataFrame, metric: str) -> DataFrame:
+    """The one-row table of the best fold's model (``ALL`` if every score is 0)."""
+    best = metrics.best_by(scores, metric, key="model").select("model")
+    return best.unionByName(rows.sparkSession.createDataFrame([(nb.ALL,)], "model int")).agg(F.max("model").cast("int").alias("model"))
+
+
+def held_out(rows: DataFrame, scored: DataFrame, scores: DataFrame, metric: str) -> DataFrame:
+    """The test rows as the chosen model scores them."""
+    return scored.filter(F.col("split") == "test").join(F.broadcast(chosen_model(rows, scores, metric)), "model")
+
+
+def _pair_scores(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(problem rows, scored rows, the validation part)."""
     rows, tf = pair_problem(spark, root)
-    model = nb.fit(rows, tf, [nb.ALL] + list(range(FOLDS)))
-    acc = metrics.accuracy(cv_scores(rows, tf, FOLDS, model), "truth", "pred", by=["model"])
-    best = metrics.best_by(acc, "accuracy", key="model").select("model").first()
-    chosen = best["model"] if best else nb.ALL
-    targets = rows.filter(F.col("split") == "test").select("grp", "uid", F.lit(chosen).alias("model"))
-    j = nb.predict(model, targets, tf).join(_truth(rows), ["grp", "uid"])
+    scored = scored_parts(rows, tf, FOLDS)
+    return rows, scored, scored.filter(F.col("split") == "train")
+
+
+def _flag_scores(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows, tf = flag_problem(spark, root)
+    scored = scored_parts(rows, tf, ML_FOLDS)
+    return rows, scored, scored.filter(F.col("split") == "train")
+
+
+def class_table(j: DataFrame, by: str = "model") -> DataFrame:
+    """Accuracy, P / R / F1 of every class and the printed averages, one row per ``by``."""
+    rep = metrics.class_report(metrics.confusion_counts(j, "truth", "pred", by=[by], classes=[c for c, _ in REPORT_CLASSES]))
+    return (metrics.accuracy(j, "truth", "pred", by=[by]).join(metrics.wide_metrics(rep, by, REPORT_CLASSES), by)
+            .join(metrics.report_averages(rep, by=[by]), by))
+
+
+def flag_table(j: DataFrame, by: str = "model") -> DataFrame:
+    """Micro P / R / F1, P / R / F1 of every flag and the printed averages, one row per ``by`` (a long table of flags)."""
+    hit = lambda t, p: F.sum(((F.col("truth") == t) & (F.col("pred") == p)).cast("long"))
+    counts = j.groupBy(by, F.substring("grp", 5, 9).cast("int").alias("class")).agg(
+        hit(1, 1).alias("tp"), hit(0, 1).alias("fp"), hit(1, 0).alias("fn"), F.sum("truth").cast("long").alias("support"))
+    rep = metrics.class_report(counts)
+    return (_micro(j, [by]).join(metrics.wide_metrics(rep, by, list(enumerate(FLAGS))), by)
+            .join(metrics.report_averages(rep, by=[by]), by).join(metrics.samples_avg_long(j, "uid", "truth", "pred", by=[by]), by))
+
+
+def _folds_from_one(df: DataFrame) -> DataFrame:
+    return df.withColumn("model", F.col("model") + 1).withColumnRenamed("model", "fold")
+
+
+def q_cv_multiclass_report(spark, root):
+    """The table written per fold: accuracy and P / R / F1 of every class, folds from 1."""
+    return normalise(_folds_from_one(class_table(_pair_scores(spark, root)[2])))
+
+
+def q_holdout_multiclass_report(spark, root):
+    """The full report of the best fold's model on the held-out part, averages included."""
+    rows, scored, val = _pair_scores(spark, root)
+    return normalise(_folds_from_one(class_table(held_out(rows, scored, metrics.accuracy(val, "truth", "pred", by=["model"]), "accuracy"))))
+
+
+def q_cv_multilabel_report(spark, root):
+    return normalise(_folds_from_one(flag_table(_flag_scores(spark, root)[2])))
+
+
+def q_holdout_multilabel_report(spark, root):
+    rows, scored, val = _flag_scores(spark, root)
+    return normalise(_folds_from_one(flag_table(held_out(rows, scored, _micro(val, ["model"]), "micro_f1"))))
+
+
+def q_holdout_multiclass(spark, root):
+    rows, scored, val = _pair_scores(spark, root)
+    j = held_out(rows, scored, metrics.accuracy(val, "truth", "pred", by=["model"]), "accuracy")
     rep = metrics.class_report(metrics.confusion_counts(j, "truth", "pred", by=["model"], classes=[0, 1, 2, 3]))
     wide = metrics.wide_metrics(rep, "model", REPORT_CLASSES)
     out = metrics.accuracy(j, "truth", "pred", by=["model"]).join(wide, "model")
@@ -114,13 +183,8 @@ def q_cv_multilabel(spark, root):
 
 
 def q_holdout_multilabel(spark, root):
-    rows, tf = flag_problem(spark, root)
-    model = nb.fit(rows, tf, [nb.ALL] + list(range(ML_FOLDS)))
-    cv = _micro(cv_scores(rows, tf, ML_FOLDS, model), ["model"])
-    best = metrics.best_by(cv, "micro_f1", key="model").select("model").first()
-    chosen = best["model"] if best else nb.ALL
-    targets = rows.filter(F.col("split") == "test").select("grp", "uid", F.lit(chosen).alias("model"))
-    j = nb.predict(model, targets, tf).join(_truth(rows), ["grp", "uid"])
+    rows, scored, val = _flag_scores(spark, root)
+    j = held_out(rows, scored, _micro(val, ["model"]), "micro_f1")
     out = _micro(j, ["model"]).join(metrics.samples_avg_long(j, "uid", "truth", "pred", by=["model"]), "model")
     return normalise(out.withColumnRenamed("model", "best_fold"))
 
@@ -139,12 +203,14 @@ def q_hp_search(spark, root):
 def q_run_matrix(spark, root):
     rows, texts = matrix_problem(spark, root, FOLDS)
     tf = _tf(texts)
-    model = nb.fit(rows, tf, [nb.ALL] + list(range(FOLDS)))
-    acc = metrics.accuracy(cv_scores(rows, tf, FOLDS, model), "truth", "pred", by=["grp", "model"])
+    scored = scored_parts(rows, tf, FOLDS)
+    acc = metrics.accuracy(scored.filter(F.col("split") == "train"), "truth", "pred", by=["grp", "model"])
     best = acc.filter(F.col("accuracy") > 0).groupBy("grp").agg(
         F.min(F.struct((-F.col("accuracy")).alias("neg"), F.col("model").alias("m"))).alias("b")
-    ).select("grp", F.col("b.m").alias("model"))
-    j = nb.predict(model, nb.holdout_targets(rows, best), tf).join(_truth(rows), ["grp", "uid"])
+    ).select("grp", F.col("b.m").alias("best"))
+    # one row a group; a group without a score above 0 takes the model of all training rows
+    j = scored.filter(F.col("split") == "test").join(F.broadcast(best), "grp", "left").filter(
+        F.col("model") == F.coalesce("best", F.lit(nb.ALL)))
     hacc = metrics.accuracy(j, "truth", "pred", by=["grp", "model"])
     avg = metrics.report_averages(metrics.class_report(
         metrics.confusion_counts(j, "truth", "pred", by=["grp", "model"])), by=["grp", "model"])
@@ -169,9 +235,9 @@ def _ml_pairs(spark: SparkSession, root: str) -> DataFrame:
     Written once: cross-validation filters and caches each fold from this table, which would
     otherwise re-run tokenizing and the split numbering once per fold."""
     p = filter_present(bindings.pair_class_reviews(spark, root))
-    p = _lower_tokens(labels.label_apply(p, labels.label_fit(p)))
-    return materialize(
-        splits.split_with_folds(p.select("row_id", "label", "label_code", "tokens"), FOLDS, label="label"))
+    p = labels.label_apply(p, labels.label_fit(p))
+    folds = splits.split_with_folds(p.select("row_id", "label", "label_code"), FOLDS, label="label")  # ranked without tokens
+    return materialize(_lower_tokens(p.select("row_id", "review")).select("row_id", "tokens").join(folds, "row_id"))
 
 
 def q_lr_multiclass(spark, root):
@@ -230,6 +296,10 @@ QUERIES = {
     "nb_multilabel": q_nb_multilabel,
     "cv_multilabel": q_cv_multilabel,
     "holdout_multilabel": q_holdout_multilabel,
+    "cv_multiclass_report": q_cv_multiclass_report,
+    "holdout_multiclass_report": q_holdout_multiclass_report,
+    "cv_multilabel_report": q_cv_multilabel_report,
+    "holdout_multilabel_report": q_holdout_multilabel_report,
     "hp_search": q_hp_search,
     "run_matrix": q_run_matrix,
 }

@@ -264,6 +264,43 @@ SELECT split_part(h.grp, '|', 1) AS dataset, split_part(h.grp, '|', 2) AS varian
 FROM hj2 h JOIN av v ON v.gm = h.gm GROUP BY h.grp, h.model""",
 }
 
+
+def _all_avgs(rep: str, by: str) -> str:
+    cols = []
+    for m in ("precision", "recall", "f1"):
+        cols.append(f"round(avg({m}), 6) AS macro_{m}")
+        cols.append(f"round({ratio(f'sum({m} * support)', 'sum(support)')}, 6) AS weighted_{m}")
+    return f"SELECT {by}, {', '.join(cols)} FROM ({rep}) GROUP BY {by}"
+
+
+def _class_table(src: str) -> str:
+    """One row a model: accuracy, every class, averages."""
+    rep = _report(f"({_conf(src, 'model', '[0, 1, 2, 3]')})")
+    return f"""(SELECT model, round(avg(CASE WHEN truth = pred THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS accuracy, count(*) AS n FROM {src} GROUP BY model)
+JOIN (SELECT model, {', '.join(WIDE)} FROM ({rep}) GROUP BY model) USING (model) JOIN ({_all_avgs(rep, 'model')}) USING (model)"""
+
+
+def _flag_table(src: str) -> str:
+    wide = [f"round(max(CASE WHEN class = {j} THEN {col} END), 6) AS {flag}_{m}" for j, flag in enumerate(FLAGS)
+            for m, col in (("p", "precision"), ("r", "recall"), ("f1", "f1"))]
+    counts = f"""(SELECT model, CAST(substr(grp, 5) AS INTEGER) AS class, count(*) FILTER (truth = 1 AND pred = 1) AS tp,
+        count(*) FILTER (truth = 0 AND pred = 1) AS fp, count(*) FILTER (truth = 1 AND pred = 0) AS fn, sum(truth) AS support FROM {src} GROUP BY ALL)"""
+    rep = _report(counts)
+    return f"""({_micro(src, 'model')}) JOIN (SELECT model, {', '.join(wide)} FROM ({rep}) GROUP BY model) USING (model)
+JOIN ({_all_avgs(rep, 'model')}) USING (model)
+JOIN (SELECT model, round(avg({ratio('b', 'p')}), 6) AS samples_precision, round(avg({ratio('b', 't')}), 6) AS samples_recall,
+             round(avg({ratio('2 * b', 't + p')}), 6) AS samples_f1
+      FROM (SELECT model, uid, sum(truth * pred) AS b, sum(truth) AS t, sum(pred) AS p FROM {src} GROUP BY model, uid) GROUP BY model) USING (model)"""
+
+
+_ONE = "SELECT * EXCLUDE (model), (model + 1)::BIGINT AS fold FROM "
+SQL["cv_multiclass_report"] = f"""{PAIR}, {VALID}, {nb_sql([0, 1, 2, 3, 4], [1.0])}, {JT}
+{_ONE}{_class_table('jt')}"""
+SQL["cv_multilabel_report"] = f"""{FLAG}, {VALID}, {nb_sql([0, 1], [1.0])}, {JT}
+{_ONE}{_flag_table('jt')}"""
+SQL["holdout_multiclass_report"] = SQL["holdout_multiclass"].split("rep AS (")[0].rstrip().rstrip(",") + f"\n{_ONE}{_class_table('hj')}"
+SQL["holdout_multilabel_report"] = SQL["holdout_multilabel"].split("per AS (SELECT uid")[0].rstrip().rstrip(",") + f"\n{_ONE}{_flag_table('hj')}"
+
 # hp_search needs the candidate smoothing values as literals of the scoring; they are computed here
 # with the same rule the SQL uses, so the SQL stays a single statement.
 

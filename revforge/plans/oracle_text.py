@@ -33,14 +33,14 @@ def tok(col: str, clean: bool = False) -> str:
 
 STOPS = "[" + ", ".join(_lit(w) for w in STOP_WORDS) + "]"
 
-TOKS = f"""toks AS (SELECT row_id, {tok('review')} AS t FROM raw)"""
-TOKEN_ROWS = """trows AS (SELECT row_id, unnest(t) AS term, unnest(generate_series(0, len(t) - 1)) AS pos
+TOKS = f"""toks AS MATERIALIZED (SELECT row_id, {tok('review')} AS t FROM raw)"""
+TOKEN_ROWS = """trows AS MATERIALIZED (SELECT row_id, unnest(t) AS term, unnest(generate_series(0, len(t) - 1)) AS pos
                 FROM toks)"""
-PRESENT_TOKS = f"""ptoks AS (SELECT row_id, {tok('review', clean=True)} AS t FROM raw WHERE review IS NOT NULL AND review <> '')"""
+PRESENT_TOKS = f"""ptoks AS MATERIALIZED (SELECT row_id, {tok('review', clean=True)} AS t FROM raw WHERE review IS NOT NULL AND review <> '')"""
 PRESENT_ROWS = """prows AS (SELECT row_id, unnest(t) AS term, unnest(generate_series(0, len(t) - 1)) AS pos
                  FROM ptoks)"""
 BENCH_ROWS = f"""brows AS (SELECT unnest({tok('text')}) AS term FROM benchmark)"""
-LEX = """lex AS (SELECT DISTINCT lower(term) AS word FROM trows UNION SELECT DISTINCT lower(term) FROM brows)"""
+LEX = """lex AS MATERIALIZED (SELECT DISTINCT lower(term) AS word FROM trows UNION SELECT DISTINCT lower(term) FROM brows)"""
 
 
 def _cands() -> str:
@@ -53,7 +53,7 @@ def _cands() -> str:
     return "cands AS (" + "\n UNION ALL ".join(parts) + ")"
 
 
-LEMMA = f"""terms AS (SELECT DISTINCT term FROM trows),
+LEMMA = f"""terms AS MATERIALIZED (SELECT DISTINCT term FROM trows),
 {_cands()},
 best AS (SELECT term, cand FROM (
            SELECT term, cand, row_number() OVER (PARTITION BY term ORDER BY length(cand), cand) AS rn
