@@ -1,25 +1,31 @@
 """Deterministic holdout splits and k-folds.
 
 Rows are ordered by ``md5('<seed>:<id>')`` (ties by id), which every SQL engine computes alike, so
-membership is reproducible and checkable. Global and per-class positions come from
-``ordering.ordered_index`` / ``rank_within`` (range partitions + offsets), never from a
-single-partition window over the rows. Only the per-class allocation table (one row per class)
-uses plain windows.
+membership is reproducible and checkable. The order is found by hash cells: the first digits of the hash cut every
+class into ``16 ** CELL_DIGITS`` cells of even size. Counts per (class, cell), a small table, say where each cell
+starts in its class, so
+
+* a holdout split needs no numbering at all: only the cell that holds the cut is ranked, and a row is on the train
+  side if its key is not behind the cut's (a comparison in the scan);
+* a fold, which needs the rank itself, is the cell's start plus the rank within the cell, one shuffle by (class, cell).
+
+Nothing is range-sorted or written, and a class with a third of all rows is spread over its cells.
 """
 
 from __future__ import annotations
 
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import SEED, TEST_SHARE
 from ..functions.hashing import hash_key
 from .joins import checked_broadcast
-from .ordering import ordered_index, rank_within
 
 MAX_ALLOCATION_ROWS = 1_000_000
+CELL_DIGITS = 3
+MAX_CELL_ROWS = 1_000_000
 
 
 def _share(share: float) -> tuple[int, int]:
@@ -51,47 +57,108 @@ def class_allocation(df: DataFrame, label: str, test_share: float = TEST_SHARE,
         (F.col("_fl") + F.when(F.col("_rr") <= F.col("_left"), 1).otherwise(0)).cast("long").alias("n_train_class"))
 
 
+def cell_starts(keyed: DataFrame, groups: list[str]) -> DataFrame:
+    """``[groups..], _cell, _before``: rows of the group in earlier cells (groups x cells rows)."""
+    counts = keyed.groupBy(*groups, "_cell").agg(F.count(F.lit(1)).alias("_in"))
+    before = Window.partitionBy(*groups).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("_before", F.coalesce(F.sum("_in").over(before), F.lit(0)))
+
+
+def with_hash(df: DataFrame, key: str, seed: int) -> DataFrame:
+    hashed = df.withColumn("_h", hash_key(seed, key))
+    return hashed.withColumn("_cell", F.substring(F.coalesce("_h", F.lit("0" * 32)), 1, CELL_DIGITS))
+
+
+def renamed(df: DataFrame, keys: list[str], *others: str) -> tuple[DataFrame, list[Column]]:
+    """A small table with its keys renamed, and the null-safe join conditions with the rows."""
+    return (df.select(*[F.col(k).alias(f"_a{i}") for i, k in enumerate(keys)], *others),
+            [F.col(k).eqNullSafe(F.col(f"_a{i}")) for i, k in enumerate(keys)])
+
+
+def cell_rank(df: DataFrame, groups: list[str], key: str, seed: int, name: str = "_r") -> DataFrame:
+    """Add ``name``: the 1-based position in hash order within the group."""
+    keyed = with_hash(df, key, seed)
+    keys = [*groups, "_cell"]
+    starts, cond = renamed(cell_starts(keyed.select(*keys), groups), keys, "_before")
+    local = F.row_number().over(Window.partitionBy(*keys).orderBy("_h", key))
+    return (keyed.withColumn("_l", local).join(checked_broadcast(starts, MAX_CELL_ROWS), cond)
+            .withColumn(name, (F.col("_before") + F.col("_l")).cast("long"))
+            .drop("_h", "_cell", "_l", "_before", *[f"_a{i}" for i in range(len(keys))]))
+
+
+def train_cut(keyed: DataFrame, groups: list[str], key: str, wanted: DataFrame) -> DataFrame:
+    """``[groups..], _cut``: the (hash, key) of the last train row of each group. ``wanted``: groups, n_train_class.
+
+    The cell with the cut follows from the cell counts; of the rows only that cell's are ranked."""
+    starts = cell_starts(keyed.select(*groups, "_cell"), groups)
+    wanted, cond = renamed(wanted, groups, "n_train_class")
+    at = starts.join(checked_broadcast(wanted, MAX_ALLOCATION_ROWS), cond or F.lit(True)).filter(
+        (F.col("_before") < F.col("n_train_class")) & (F.col("_before") + F.col("_in") >= F.col("n_train_class")))
+    keys = [*groups, "_cell"]
+    at, cond = renamed(at.select(*keys, (F.col("n_train_class") - F.col("_before")).alias("_rest")), keys, "_rest")
+    inside = keyed.select(*keys, "_h", key).join(checked_broadcast(at, MAX_ALLOCATION_ROWS), cond)
+    ranked = inside.withColumn("_l", F.row_number().over(Window.partitionBy(*keys).orderBy("_h", key)))
+    return ranked.filter(F.col("_l") == F.col("_rest")).select(*groups, F.struct("_h", F.col(key).alias("_k")).alias("_cut"))
+
+
 def split_stratified(df: DataFrame, label: str = "label", key: str = "row_id", test_share: float = TEST_SHARE,
                      seed: int = SEED, groups: list[str] | None = None) -> DataFrame:
     """Add ``split`` = train/test with class shares kept (per group when ``groups`` is given)."""
     groups = groups or []
     keys = groups + [label]
-    ranked = rank_within(df.withColumn("_h", hash_key(seed, key)), keys, [F.col("_h"), F.col(key)], name="_r")
-    # the allocation is computed from the numbered table (already written), not from the source again
-    alloc = class_allocation(ranked, label, test_share, groups)
-    alloc = alloc.select(*[F.col(k).alias(f"_a{i}") for i, k in enumerate(keys)], "n_train_class")
-    cond = [F.col(k).eqNullSafe(F.col(f"_a{i}")) for i, k in enumerate(keys)]
+    keyed = with_hash(df, key, seed)
+    narrow = keyed.select(*dict.fromkeys([*keys, "_cell", "_h", key]))
+    alloc = class_allocation(narrow, label, test_share, groups)
+    cuts, cond = renamed(train_cut(narrow, keys, key, alloc), keys, "_cut")
     # one row per (group, class): broadcast behind a size check
-    j = ranked.join(checked_broadcast(alloc, MAX_ALLOCATION_ROWS), cond)
-    return j.withColumn("split", F.when(F.col("_r") <= F.col("n_train_class"), F.lit("train"))
-                        .otherwise(F.lit("test"))).drop("_h", "_r", "n_train_class",
-                                                        *[f"_a{i}" for i in range(len(keys))])
+    j = keyed.join(checked_broadcast(cuts, MAX_ALLOCATION_ROWS), cond, "left")
+    return _by_cut(j, key).drop("_h", "_cell", "_cut", *[f"_a{i}" for i in range(len(keys))])
+
+
+def _by_cut(j: DataFrame, key: str) -> DataFrame:
+    train = F.struct("_h", F.col(key).alias("_k")) <= F.col("_cut")
+    return j.withColumn("split", F.when(F.coalesce(train, F.lit(False)), F.lit("train")).otherwise(F.lit("test")))
+
+
+def train_rows(n: Column, test_share: float) -> Column:
+    """Rows of the train part of n: the test part is rounded up."""
+    num, den = _share(test_share)
+    return n - F.floor((n * num + (den - 1)) / den).cast("long")
 
 
 def split_random(df: DataFrame, key: str = "row_id", test_share: float = TEST_SHARE, seed: int = SEED) -> DataFrame:
     """Add ``split``; the first n_train rows in hash order are train."""
-    num, den = _share(test_share)
-    pos = ordered_index(df.withColumn("_h", hash_key(seed, key)), [F.col("_h"), F.col(key)], name="_p")
-    n = pos.count()  # a count of the written numbered table, not a second pass over the source
-    n_train = n - (n * num + den - 1) // den
-    return pos.withColumn("split", F.when(F.col("_p") <= F.lit(n_train), F.lit("train"))
-                          .otherwise(F.lit("test"))).drop("_h", "_p")
+    keyed = with_hash(df, key, seed)
+    narrow = keyed.select("_cell", "_h", key)
+    wanted = narrow.agg(train_rows(F.count(F.lit(1)), test_share).alias("n_train_class"))
+    cut = train_cut(narrow, [], key, wanted)  # one row, or none
+    return _by_cut(keyed.join(F.broadcast(cut), F.lit(True), "left"), key).drop("_h", "_cell", "_cut")
 
 
 def folds_stratified(df: DataFrame, k: int, label: str = "label", key: str = "row_id", seed: int = SEED,
                      groups: list[str] | None = None) -> DataFrame:
     """``fold`` = (position in ([groups], label, hash) order - 1) mod k: every class spread evenly."""
-    order = [F.col(g) for g in (groups or [])] + [F.col(label), F.col("_h"), F.col(key)]
-    pos = ordered_index(df.withColumn("_h", hash_key(seed, key)), order, name="_p")
-    return pos.withColumn("fold", F.pmod(F.col("_p") - 1, F.lit(k)).cast("int")).drop("_h", "_p")
+    keys = (groups or []) + [label]
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)  # one row a class
+    offsets, cond = renamed(sizes.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))), keys, "_off")
+    j = cell_rank(df, keys, key, seed).join(checked_broadcast(offsets, MAX_ALLOCATION_ROWS), cond)
+    return j.withColumn("fold", F.pmod(F.col("_off") + F.col("_r") - 1, F.lit(k)).cast("int")).drop(
+        "_r", "_off", *[f"_a{i}" for i in range(len(keys))])
 
 
 def folds_random(df: DataFrame, k: int, key: str = "row_id", seed: int = SEED,
                  groups: list[str] | None = None) -> DataFrame:
     """Shuffled folds of sizes within one of each other."""
-    order = [F.col(g) for g in (groups or [])] + [F.col("_h"), F.col(key)]
-    pos = ordered_index(df.withColumn("_h", hash_key(seed, key)), order, name="_p")
-    return pos.withColumn("fold", F.pmod(F.col("_p") - 1, F.lit(k)).cast("int")).drop("_h", "_p")
+    if groups:
+        sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
+        before = Window.orderBy(*groups).rowsBetween(Window.unboundedPreceding, -1)  # one row a group
+        offsets, cond = renamed(sizes.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))), groups, "_off")
+        j = cell_rank(df, groups, key, seed).join(checked_broadcast(offsets, MAX_ALLOCATION_ROWS), cond)
+    else:
+        j = cell_rank(df, [], key, seed).withColumn("_off", F.lit(0))
+    return j.withColumn("fold", F.pmod(F.col("_off") + F.col("_r") - 1, F.lit(k)).cast("int")).drop(
+        "_r", "_off", *[f"_a{i}" for i in range(len(groups or []))])
 
 
 def fold_train_val(df: DataFrame, k: int, fold: str = "fold") -> DataFrame:
@@ -113,27 +180,23 @@ def split_with_folds(df: DataFrame, k: int, label: str = "label", key: str = "ro
     """
     groups = groups or []
     keys = groups + [label]
-    ranked = rank_within(df.withColumn("_h", hash_key(seed, key)), keys, [F.col("_h"), F.col(key)], name="_r")
-    alloc = class_allocation(ranked, label, test_share, groups)
+    alloc = class_allocation(df, label, test_share, groups)
     before = Window.orderBy(*[F.col(c) for c in keys]).rowsBetween(Window.unboundedPreceding, -1)
     alloc = alloc.withColumn("_off", F.coalesce(F.sum("n_train_class").over(before), F.lit(0)))
-    alloc = alloc.select(*[F.col(c).alias(f"_a{i}") for i, c in enumerate(keys)], "n_train_class", "_off")
-    cond = [F.col(c).eqNullSafe(F.col(f"_a{i}")) for i, c in enumerate(keys)]
-    j = ranked.join(checked_broadcast(alloc, MAX_ALLOCATION_ROWS), cond)
+    alloc, cond = renamed(alloc, keys, "n_train_class", "_off")
+    j = cell_rank(df, keys, key, seed).join(checked_broadcast(alloc, MAX_ALLOCATION_ROWS), cond)
     train = F.col("_r") <= F.col("n_train_class")
     return (j.withColumn("split", F.when(train, F.lit("train")).otherwise(F.lit("test")))
             .withColumn("fold", F.when(train, F.pmod(F.col("_off") + F.col("_r") - 1, F.lit(k))).cast("int"))
-            .drop("_h", "_r", "n_train_class", "_off", *[f"_a{i}" for i in range(len(keys))]))
+            .drop("_r", "n_train_class", "_off", *[f"_a{i}" for i in range(len(keys))]))
 
 
 def split_with_random_folds(df: DataFrame, k: int, key: str = "row_id", test_share: float = TEST_SHARE,
                             seed: int = SEED) -> DataFrame:
     """X2 + X4 in one numbering: train rows are hash positions 1..n_train, fold = (position - 1) mod k."""
-    num, den = _share(test_share)
-    pos = ordered_index(df.withColumn("_h", hash_key(seed, key)), [F.col("_h"), F.col(key)], name="_p")
-    n = pos.count()
-    n_train = n - (n * num + den - 1) // den
-    train = F.col("_p") <= F.lit(n_train)
-    return (pos.withColumn("split", F.when(train, F.lit("train")).otherwise(F.lit("test")))
+    total = df.agg(train_rows(F.count(F.lit(1)), test_share).alias("_t"))  # one row
+    j = cell_rank(df, [], key, seed, "_p").join(F.broadcast(total), F.lit(True))
+    train = F.col("_p") <= F.col("_t")
+    return (j.withColumn("split", F.when(train, F.lit("train")).otherwise(F.lit("test")))
             .withColumn("fold", F.when(train, F.pmod(F.col("_p") - 1, F.lit(k))).cast("int"))
-            .drop("_h", "_p"))
+            .drop("_p", "_t"))

@@ -97,8 +97,7 @@ def q_pack_flags(spark: SparkSession, root: str) -> DataFrame:
 
 
 def q_sort_by_length(spark: SparkSession, root: str) -> DataFrame:
-    s = balance.sort_by_length(bindings.raw_reviews(spark, root).select("row_id", "review"))
-    return normalise(s.select("row_id", "length_rank", text_length("review").alias("review_len")))
+    return normalise(balance.sorted_lengths(bindings.raw_reviews(spark, root)).select("row_id", "length_rank", "review_len"))
 
 
 def q_top_longest(spark: SparkSession, root: str) -> DataFrame:

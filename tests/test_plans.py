@@ -66,10 +66,16 @@ def test_broadcast_check_counts_written_tables_directly(spark):
     assert not is_plain_scan(t.join(t, "doc_id"))
 
 
-def test_top_k_rounds_follow_the_input_size(spark, monkeypatch):
-    """Small inputs rank in one round; a scan with many splits gets the salted first round."""
+def test_balance_has_one_plan_whatever_the_input_size(spark, monkeypatch):
+    """The choice by length histogram has no form for small and none for large inputs."""
+    import re
+
     from revforge.operators import layout
     df = coded_reviews(spark, SF)
-    assert plan(balance.balance_longest(df, LONGEST_QUOTA)).count("Exchange hashpartitioning") == 1
+
+    def shape():
+        return re.findall(r"Exchange \w+|WindowGroupLimit|BroadcastHashJoin|SortMergeJoin", plan(balance.balance_longest(df, LONGEST_QUOTA)))
+
+    small = shape()
     monkeypatch.setattr(layout, "largest_input_bytes", lambda d: 1 << 50)
-    assert plan(balance.balance_longest(df, LONGEST_QUOTA)).count("Exchange hashpartitioning") == 2
+    assert shape() == small
