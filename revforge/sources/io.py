@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.constants import NA_STRINGS
+from . import csv_split
 
 # Explicit schema of a review table; no inference at scale.
 REVIEW_SCHEMA = T.StructType([
@@ -34,17 +35,9 @@ def null_na_strings(df: DataFrame) -> DataFrame:
 
 
 def scan_csv(spark: SparkSession, path: str, schema: T.StructType = REVIEW_SCHEMA) -> DataFrame:
-    """Header CSV with multi-line quoted cells and doubled quotes; NA strings become null."""
-    df = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("enforceSchema", False)  # a header that names other columns is an error
-        .option("multiLine", True)
-        .option("escape", '"')
-        .option("mode", "FAILFAST")
-        .csv(path)
-    )
-    return null_na_strings(df)
+    """Header CSV with multi-line quoted cells and doubled quotes, large files read by many tasks; NA strings become
+    null (S1)."""
+    return null_na_strings(csv_split.scan(spark, path, schema))
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -88,3 +88,31 @@ def test_balance_with_a_hot_class(spark):
     ref = sorted(r.row_id for r in df.filter("new_label = 0").orderBy(F.length("review").desc(), "row_id")
                  .limit(50).collect())
     assert top0 == ref and got.count() == 65
+
+
+def test_one_csv_file_is_read_by_many_tasks(spark):
+    """Small splits through quoted line breaks, doubled quotes, separators and empty cells: equal to the whole-file reader."""
+    import csv
+    import random
+
+    rng = random.Random(8)
+    pieces = ["a", 'say ""no""'.replace('""', '"'), "line\nbreak", "\n\n", "x,y", "é", '"', "", "tail "]
+    rows = [(i, "".join(rng.choice(pieces) for _ in range(rng.randint(0, 9))) or None, rng.choice(["PD", "NA", None]), "p,1") for i in range(400)]
+    path = os.path.join(tempfile.mkdtemp(prefix="revforge-split-"), "one.csv")
+    with open(path, "w", newline="") as f:
+        w = csv.writer(f, lineterminator="\n")
+        w.writerow(io.REVIEW_SCHEMA.names)
+        w.writerows([["" if c is None else c for c in r] for r in rows])
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        from revforge.sources import csv_split
+        assert csv_split.lines(spark, path).select("block").distinct().count() > 10
+        got = sorted(tuple(r) for r in io.scan_csv(spark, path).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    whole = io.null_na_strings(spark.read.schema(io.REVIEW_SCHEMA).option("header", True).option("multiLine", True).option("escape", '"').csv(path))
+    assert [str(r) for r in got] == [str(tuple(r)) for r in sorted(whole.collect(), key=lambda r: r.row_id)]
+    assert len(got) == 400
