@@ -15,7 +15,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from revforge.plans.registry import all_queries  # noqa: E402
-from revforge.session import build_session  # noqa: E402
+from revforge.session import build_session, drop_written  # noqa: E402
 
 HEADLINE = [
     "balance_longest", "balance_shortest", "class_counts", "clean_text", "union_sources", "nested_cuts",
@@ -39,6 +39,7 @@ def main() -> None:
         t0 = time.time()
         qs[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - t0, 3)
+        drop_written(spark)
         print(f"# {name} {times[name]}s", file=sys.stderr, flush=True)
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({"metric": "total_query_seconds", "value": round(sum(times.values()), 3), "unit": "sec",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 
@@ -66,20 +67,43 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def materialize(df):
     """Write ``df`` once as Parquet under the checkpoint folder and return the scan of it.
 
     This cuts the lineage (a lost executor re-reads the files instead of recomputing the plan) and,
-    unlike an eager RDD checkpoint, computes the plan exactly once.
+    unlike an eager RDD checkpoint, computes the plan exactly once. The tables last as long as the
+    application, since results are lazy; ``drop_written`` removes them, at the latest when Python exits.
     """
     import uuid
 
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/revforge-table-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(_drop_at_exit)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
+def drop_written(spark: SparkSession) -> int:
+    """Remove the tables that ``materialize`` wrote for this application; results that read them must be done."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+    return len(paths)
+
+
+def _drop_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        drop_written(spark)
+
+
 _SHIPPED: set[str] = set()
 
 
