@@ -2,12 +2,17 @@
 
 High-recall generators propose overlapping spans: the four base patterns, and looser ones (blanks around
 ``@`` and dots, octets over 255, digit runs of card length that fail the checksum, phone numbers without
-``+``). Each candidate has a few small integer features of its format (digits, groups, separators, length)
-and context (neighbouring characters, words before it), packed into one code. Boosted trees are
-trained on the codes of all candidates of all documents, weighted by how often a code occurs: positive is a
-span that a base check confirms or that overlaps a confirmed one of its kind. A code is accepted if its
-calibrated precision (the share confirmed, on documents kept from training, among codes scored no lower,
-per kind) is at least ``PRECISION``. Base spans always stay; an accepted span is added if it
+``+``). Each candidate has a few small integer features of its format (digits, groups, separators, length, a
+validity check of its kind) and context (neighbouring characters, words before it), packed into one code.
+
+Base spans always stay; boosted trees decide about the rest. They are trained on the candidates that are not base
+themselves, weighted by how often a code occurs. Positive is, first, a loose generator's view of a confirmed span (it
+overlaps a base span of its kind, whose mark is hidden from the features), so the trees learn what personal data looks
+like around its base form; and second, evidence that no base pattern sees: a word of the kind before the span (call, mail,
+card) where the validity check holds (digit groups that can be dialled, a checksum, a top-level name). The thresholds are
+calibrated on what they decide about: of the candidates without any base overlap, on documents kept from training, the share with
+evidence among those scored no lower must be at least ``PRECISION``, per kind, with ``LEAST_SEEN`` of them at least.
+So a number shaped like a phone number is no span where most of its like have no evidence. An accepted span is added if it
 overlaps no base span and no earlier added one of its kind.
 
 The feature space is fixed, so the table of codes and the accepted list are of bounded size whatever the
@@ -45,7 +50,7 @@ GENERATORS = (
     ("email", _START + _LOCAL + r"++\x20?@\x20?[A-Za-z0-9-]++(?:\x20?\.\x20?[A-Za-z0-9-]++)++", "@"),
     ("phone", r"\(?(?<![0-9])[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}(?![0-9])", None),
 )
-_FEATURES = (("generator", 6), ("digits", 21), ("groups", 7), ("separator", 4), ("left", 5), ("right", 5), ("word", 3), ("length", 16))
+_FEATURES = (("generator", 6), ("digits", 21), ("groups", 7), ("separator", 4), ("left", 5), ("right", 5), ("word", 2), ("valid", 2), ("length", 16))
 _WORDS = {"email": "mail|contact|write", "ip": "ip|host|server|address", "card": "card|visa|credit|konto|pay",
           "phone": "phone|tel|call|fax|mobil"}
 
@@ -90,8 +95,19 @@ def _base_check(kind: str, value: Column, digits: Column) -> Column:
     return n.between(8, 15) if kind == "phone" else F.lit(True)
 
 
+def _valid(kind: str, value: Column, digits: Column) -> Column:
+    """What the format alone says about a loose span of the kind."""
+    if kind == "email":
+        return F.replace(value, F.lit(" ")).rlike(r"\.[A-Za-z]{2,6}\z")
+    if kind == "card":
+        return F.when(F.length(digits).between(13, 19), _luhn(digits)).otherwise(F.lit(False))
+    if kind == "phone":
+        return digits.rlike(r"\A[2-9][0-9]{2}[2-9][0-9]{6}\z")
+    return _base_check(kind, value, digits)
+
+
 def _generated(text: Column, no: int, kind: str, pattern: str, holds: str | None) -> Column:
-    """Array of candidates of one generator: kind number, start, end, base, code."""
+    """Array of candidates of one generator: kind number, start, end, base, sure, code."""
     base_generator = no < len(KINDS)
 
     def build(m: Column) -> Column:
@@ -107,17 +123,18 @@ def _generated(text: Column, no: int, kind: str, pattern: str, holds: str | None
     def candidate(x: Column, gap: Column, after: Column, before: Column, digits: Column) -> Column:
         start = before + F.length(gap)
         base = _base_check(kind, x, digits) if base_generator else F.lit(False)
+        valid = _valid(kind, x, digits)
         word = F.when(F.lower(F.right(gap, F.lit(24))).rlike(_WORDS[kind]), 1).otherwise(0)
         sep = (F.when(x.rlike(r"\x20") & x.rlike(r"[.-]"), 3).when(x.rlike(r"\x20"), 1).when(x.rlike(r"[.-]"), 2).otherwise(0))
         values = {"generator": F.lit(no), "digits": F.least(F.length(digits), F.lit(20)),
                   "groups": F.least(F.regexp_count(x, F.lit("[0-9]+")), F.lit(6)), "separator": sep,
-                  "left": _side(F.right(gap, F.lit(1))), "right": _side(F.left(after, F.lit(1))), "word": word,
+                  "left": _side(F.right(gap, F.lit(1))), "right": _side(F.left(after, F.lit(1))), "word": word, "valid": F.when(valid, 1).otherwise(0),
                   "length": F.least(F.length(x) / 4, F.lit(15))}
         code = F.lit(0).cast("long")
         for name, size in _FEATURES:
             code = code * size + values[name].cast("long")
         return F.struct(F.lit(KINDS.index(kind)).alias("kind"), start.cast("long").alias("start"),
-                        (start + F.length(x)).cast("long").alias("end"), base.alias("base"), code.alias("code"))
+                        (start + F.length(x)).cast("long").alias("end"), base.alias("base"), ((word == 1) & valid).alias("sure"), code.alias("code"))
 
     found = let(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), build)
     if kind == "card":  # shorter runs are no candidates at all
@@ -127,7 +144,7 @@ def _generated(text: Column, no: int, kind: str, pattern: str, holds: str | None
     return found
 
 
-CANDIDATES = "array<struct<kind:int,start:bigint,end:bigint,base:boolean,code:bigint>>"
+CANDIDATES = "array<struct<kind:int,start:bigint,end:bigint,base:boolean,sure:boolean,code:bigint>>"
 
 
 def candidates(text: Column) -> Column:
@@ -158,18 +175,19 @@ def accepted_codes(found: DataFrame) -> list[int]:
     """
     each = found.where(F.size("found") > 0).select(
         (F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0).alias("train"),
-        F.explode(F.arrays_zip(F.col("found"), confirmed(F.col("found")).alias("yes"))).alias("c"))
-    codes = materialize(each.groupBy("train", F.col("c.found.code").alias("code"), F.col("c.found.kind").alias("kind"),
-                                     F.col("c.yes").alias("yes")).agg(F.count(F.lit(1)).cast("double").alias("n"))
-                        .coalesce(1).sortWithinPartitions("code", "train", "yes"))
+        F.explode(F.arrays_zip(F.col("found"), confirmed(F.col("found")).alias("met"))).alias("c")).where(~F.col("c.found.base"))
+    codes = materialize(each.groupBy("train", F.col("c.found.code").alias("code"), F.col("c.found.kind").alias("kind"), F.col("c.met").alias("met"),
+                                     (F.col("c.met") | F.col("c.found.sure")).alias("yes")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+                        .coalesce(1).sortWithinPartitions("code", "train", "met", "yes"))
     classes = codes.where("train").agg(F.min(F.col("yes").cast("int")).alias("lo"), F.max(F.col("yes").cast("int")).alias("hi")).first()
     if classes["lo"] is None or classes["lo"] == classes["hi"]:
         return []
     names = [n for n, _ in _FEATURES]
     vectors = VectorAssembler(inputCols=names, outputCol="features").transform(
-        codes.select("train", "code", "kind", F.col("yes").cast("double").alias("label"), "n", *_features()))
+        codes.select("train", "code", "kind", "met", F.col("yes").cast("double").alias("label"), "n", *_features()))
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=1, weightCol="n").fit(vectors.where("train"))
-    scored = model.transform(vectors).select("train", "code", "kind", "label", "n", F.round(vector_to_array("probability")[1], 9).alias("p"))
+    scored = model.transform(vectors).select("train", "code", "kind", "met", "label", "n", F.round(vector_to_array("probability")[1], 9).alias("p"))
+    scored = scored.where(~F.col("met"))  # what touches a base span is never added, so it says nothing about the cut
     by_score = scored.where(~F.col("train")).groupBy("kind", "p").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("label")).alias("yes"))
     down = Window.partitionBy("kind").orderBy(F.desc("p"))
     cut = by_score.withColumn("share", F.sum("yes").over(down) / F.sum("n").over(down)).withColumn("seen", F.sum("n").over(down))
@@ -198,7 +216,7 @@ def chosen(found: Column, codes: list[int]) -> Column:
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """doc_id and the array of chosen spans (kind number, start, end, base, code) of every row."""
+    """doc_id and the array of chosen spans (kind number, start, end, base, sure, code) of every row."""
     found = materialize(docs.select("doc_id", candidates(text_of()).alias("found")))
     codes = accepted_codes(found)
     return found.select("doc_id", chosen(F.col("found"), codes).alias("spans"))
