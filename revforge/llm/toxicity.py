@@ -9,14 +9,15 @@ Rare toxic words vanish in the mean of a long text, so a text is cut evenly into
 (each the mean of its distinct words, of ``LEAST`` at least, through the same softmax); its score is that of its most toxic window, and training passes the
 text's label to that window (one forward pass finds it, as in multiple-instance learning).
 
-Training uses a bounded sample: at most ``SAMPLE`` labelled rows of each class, smallest hash first, of texts
-of at most ``SAMPLE_CHARS`` characters. A fifth of it is kept from training and calibrates the logit to the full class shares.
+Training uses a bounded sample: at most ``SAMPLE`` labelled rows of each class, smallest hash first; a text of more than
+``SAMPLE_CHARS`` characters gives ``SLICES`` even slices of it. A fifth of it is kept from training and calibrates the logit to the full class shares.
 Scoring covers every whole text: the trained model is one number per subword row (2 MB), and a worker
 computes each distinct word once.
 
 Defined results: null or empty text scores as a window without words (the bias alone); null doc_id is
-never held out and never trained on; without labels of both classes every score is the share of toxic labels (0 if
-there are none); an empty table gives an empty result.
+never held out and never trained on; an id with several labels has the greatest one, an id with several texts
+is trained on the one with the least checksum; without labels of both classes every score is the share of toxic labels (0 if
+there are none); other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,6 +41,7 @@ SPAN = 50
 LEAST = 25
 SAMPLE = 2500
 SAMPLE_CHARS = 20_000
+SLICES = 40
 STEPS = 100
 KEPT_WORDS = 300_000
 THRESHOLD = 0.3
@@ -213,7 +215,8 @@ def calibrated(z: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Model:
     """A model from at most ``2 * sample`` labelled, not held-out rows (the only rows that reach the driver)."""
-    known = labels.where(F.col("toxic").isin(0, 1) & (bucket_of("doc_id") != 2)).select("doc_id", "toxic").dropDuplicates(["doc_id"])
+    known = labels.select("doc_id", F.col("toxic").alias("y")).where(F.col("y").isin(0, 1) & (bucket_of("doc_id") != 2)).groupBy(
+        "doc_id").agg(F.max("y").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = counts.get(1, 0) / max(sum(counts.values()), 1)
     if len(counts) < 2:
@@ -222,14 +225,23 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chars:
     for label in (0, 1):
         part = known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         ids = part if ids is None else ids.unionByName(part)
-    ids = ids.select(F.col("doc_id").alias("_id"), "toxic")
-    rows = docs.join(ids, docs["doc_id"] == ids["_id"]).where(F.length(text_of()) <= sample_chars)
-    got = rows.select("_id", text_of().alias("t"), "toxic").dropDuplicates(["_id"]).toPandas().sort_values("_id")
+    ids = ids.select(F.col("doc_id").alias("id"), "toxic")
+    rows = docs.select(F.col("doc_id").alias("id"), sliced(text_of(), sample_chars).alias("t"), F.md5(text_of().cast("binary")).alias("sum"))
+    rows = rows.join(F.broadcast(ids), "id").groupBy("id", "toxic").agg(F.min(F.struct("sum", "t")).alias("m"))  # at most 2 * sample ids
+    got = rows.select("id", F.col("m.t").alias("t"), "toxic").toPandas().sort_values("id")
     if got["toxic"].nunique() < 2:
         return Model(None, 0.0, share)
     return train(got["t"].tolist(), got["toxic"].to_numpy(), share)
 
 
+def sliced(text: F.Column, most: int) -> F.Column:
+    """The text, or ``SLICES`` slices of it, evenly spread and ``most`` characters together."""
+    size = most // SLICES
+    part = F.transform(F.sequence(F.lit(0), F.lit(SLICES - 1)), lambda i: F.substr(
+        text, (F.floor(i * (F.length(text) - size) / (SLICES - 1)) + 1).cast("int"), F.lit(size)))
+    return F.when(F.length(text) <= most, text).otherwise(F.array_join(part, " "))
+
+
 def bucket_of(name: str) -> F.Column:
     """crc32 of the id as text, modulo 4; -1 for a null id."""
     return F.coalesce(F.pmod(F.crc32(F.col(name).cast("string").cast("binary")), F.lit(4)), F.lit(-1))
