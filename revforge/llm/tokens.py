@@ -16,11 +16,11 @@ from functools import lru_cache
 
 END_ID = 1
 KEPT_WORDS = 300_000
-_ODD = re.compile("[\x1c-\x1f]")
+_SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 # beyond Latin letters lower-casing depends on context, and composition may change a word
 _BEYOND = re.compile("[^\x00-\u024f]|\u0130")
-# anything but lower-case letters, blanks and full stops or commas standing alone
-_MIXED = re.compile("[^a-z\u00df-\u00f6\u00f8-\u00ff \t\n\r.,]|[.,][.,]")
+# what may stand in a text whose words are met in one form: lower-case letters, blanks, full stops and commas
+_PLAIN = bytes([*range(0x61, 0x7B), *range(0xDF, 0xF7), *range(0xF8, 0x100), *b" \t\n\r.,"])
 _END = struct.pack("<I", END_ID)
 
 
@@ -31,9 +31,13 @@ def _packed(ids: list[int]) -> bytes:
 def _words(text: str) -> list[str]:
     """Words whose ids, in a row, are the text's: split at white space and, in plain Latin text, around
     lone full stops and commas, so that a word is met in one form."""
-    if not _BEYOND.search(text):
+    if text.isascii() or not _BEYOND.search(text):
         text = text.lower()
-        if not _MIXED.search(text):
+        try:
+            plain = not text.encode("latin-1").translate(None, _PLAIN)
+        except UnicodeEncodeError:
+            plain = False
+        if plain and not (".." in text or ",," in text or ".," in text or ",." in text):
             text = text.replace(".", " . ").replace(",", " , ")
     return text.split()
 
@@ -49,6 +53,7 @@ class WordTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks run side by side already
         self.tok = Tokenizer.from_file(path)
         self.added = [t.content.lower() for t in self.tok.get_added_tokens_decoder().values()]  # lower-casing words could make a literal
+        assert all("<|" in x for x in self.added)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -69,8 +74,8 @@ class WordTokenizer:
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text, with the end token."""
         for text in texts:
-            low = text.lower()
-            if _ODD.search(text) or any(x in low for x in self.added):
+            # every added token holds "<|", whatever the case
+            if any(x in text for x in _SEPARATORS) or "<|" in text and any(x in text.lower() for x in self.added):
                 yield _packed(self.tok.encode(text, add_special_tokens=False).ids) + _END
                 continue
             words = _words(text)
