@@ -22,7 +22,8 @@ HEADLINE = [
     "sort_by_length", "add_row_ids", "tokenize_words", "remove_stopwords", "stopword_antijoin",
     "lemma_vocab", "stem_vocab", "vocab_fit", "encode_fixed", "split_stratified", "folds_stratified",
     "wide_metrics", "micro_prf", "loss_carry", "loss_log_snapshots", "best_epoch", "nb_predict",
-    "cv_multiclass", "holdout_multilabel", "hp_search",
+    "cv_multiclass", "holdout_multiclass", "holdout_multilabel", "hp_search", "run_matrix", "lemmatize_text",
+    "stem_text", "prepare_generated", "scan_reviews", "loss_carry_stream", "embed_means", "softmax_history",
 ]
 
 

@@ -30,14 +30,18 @@ def class_counts(df: DataFrame, label: str = "new_label") -> DataFrame:
 def numeric_sums(df: DataFrame) -> DataFrame:
     """A2: sum of every numeric column, nulls skipped, all-null -> 0; one row per column.
 
-    Whole numbers are added as decimals, which a sum of longs could overflow."""
+    Whole numbers are added as decimals, which a sum of longs could overflow; ``exact`` holds their sum with all its
+    digits (null for other columns), ``total`` the nearest double."""
     cols = [f.name for f in df.schema.fields if isinstance(f.dataType, _NUMERIC)]
     if not cols:
-        return df.sparkSession.createDataFrame([], "column string, total double")
+        return df.sparkSession.createDataFrame([], "column string, total double, exact string")
     whole = {f.name for f in df.schema.fields if isinstance(f.dataType, T.IntegralType)}
     added = {c: F.col(f"`{c}`").cast("decimal(28,0)") if c in whole else F.col(f"`{c}`") for c in cols}
-    wide = df.agg(*[F.coalesce(F.sum(added[c]).cast("double"), F.lit(0.0)).alias(c) for c in cols])
-    return wide.unpivot([], cols, "column", "total")
+    wide = df.agg(*[F.sum(added[c]).alias(f"s{i}") for i, c in enumerate(cols)])
+    rows = [F.struct(F.lit(c).alias("column"), F.coalesce(F.col(f"s{i}").cast("double"), F.lit(0.0)).alias("total"),
+                     (F.coalesce(F.col(f"s{i}").cast("string"), F.lit("0")) if c in whole else F.lit(None).cast("string")).alias("exact"))
+            for i, c in enumerate(cols)]
+    return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def row_count(df: DataFrame) -> int:

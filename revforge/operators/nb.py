@@ -7,8 +7,8 @@ Inputs
 
 A *model* is identified by the fold it leaves out: model ``k`` is fitted on the training rows whose
 fold is not ``k``; model ``-1`` (``ALL``) on every training row. All models of all groups are fitted
-in one job: counts per (fold, class, term) are aggregated once, and a model's counts are the total
-minus its own fold's counts (each per-fold count is sent to the models that keep that fold).
+in one job: a text's classes and folds in all groups are one row, its terms join it once, and one aggregate per term gives
+the counts of every (group, class, fold) as columns. A model's counts are the total minus its own fold's.
 
 Scoring uses the sparse form of the log-likelihood, so only (term, class) pairs with a non-zero
 count are joined:
@@ -25,14 +25,14 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
 from .joins import checked_broadcast, term_join
 
 ALL = -1
-VOCAB = -1  # class value of the per-term marker rows in the weight table (real classes are >= 0)
+UNFOLDED = -2  # fold of a training row without one
 MAX_BROADCAST_CLASS_ROWS = 1_000_000
 MAX_BROADCAST_MODEL_TERMS = 2_000_000
 ROUND = 6
@@ -40,10 +40,54 @@ ROUND = 6
 
 @dataclass
 class NBModel:
-    counts: DataFrame   # grp, model, class, term, c   (c > 0)
-    vocab: DataFrame    # grp, model, term
-    classes: DataFrame  # grp, model, class, nd, log_prior, ntok, vsize
-    weights: DataFrame  # counts plus one (class VOCAB, c 0) row per vocabulary term; written once
+    """``table``: one row per term, written; column ``n<g>_<c>_<f>`` counts it in class c and fold f of group g.
+    ``classes``: the cells, (group number, group, class) in order; ``folds``: the folds, null as ``UNFOLDED``."""
+
+    table: DataFrame
+    cells: list[tuple[int, str, int]]
+    folds: list[int]
+    docs: dict[tuple[int, int, int], int]  # rows by (group number, class, fold)
+    models: list[int]
+
+    def count(self, g: int, c: int, model: int) -> Column:
+        """Occurrences of the term in the class, in the rows the model is fitted on; null if none."""
+        kept = [F.col(f"n{g}_{c}_{f}".replace("-", "m")) for f in self.folds if f != model]
+        total = kept[0] if kept else F.lit(0)
+        for k in kept[1:]:
+            total = total + k
+        return F.when(total > 0, total)
+
+    def slots(self) -> list[tuple[tuple[str, int], list[dict]]]:
+        """((group, model), its classes with rows, log prior, tokens and vocabulary size), in order: groups x models x classes."""
+        by_group: dict[tuple[int, str], list[int]] = {}
+        for g, grp, c in self.cells:
+            by_group.setdefault((g, grp), []).append(c)
+        keys = [(g, grp, m) for g, grp in by_group for m in self.models]
+        if not keys:
+            return []
+        aggs = []
+        for j, (g, grp, m) in enumerate(keys):
+            each = [self.count(g, c, m) for c in by_group[(g, grp)]]
+            aggs.append(F.count(F.coalesce(*each)).alias(f"v{j}"))
+            aggs += [F.coalesce(F.sum(n), F.lit(0)).alias(f"t{j}_{c}") for c, n in zip(by_group[(g, grp)], each)]
+        sums = self.table.agg(*aggs).first()  # one row
+        out = []
+        for j, (g, grp, m) in enumerate(keys):
+            rows = {c: sum(self.docs.get((g, c, f), 0) for f in self.folds if f != m) for c in by_group[(g, grp)]}
+            total = sum(rows.values())
+            out.append(((grp, m), [{"class": c, "g": g, "nd": n, "log_prior": math.log(n / total), "ntok": sums[f"t{j}_{c}"], "vsize": sums[f"v{j}"]}
+                                   for c, n in sorted(rows.items()) if n]))
+        return sorted(out, key=lambda s: s[0])
+
+    def class_table(self, spark: SparkSession) -> DataFrame:
+        """grp, model, class, nd, log_prior, ntok, vsize."""
+        rows = [(grp, m, c["class"], c["nd"], c["log_prior"], c["ntok"], c["vsize"]) for (grp, m), cs in self.slots() for c in cs]
+        return spark.createDataFrame(rows, "grp string, model int, class int, nd long, log_prior double, ntok long, vsize long")
+
+    def counts(self, model: int = ALL) -> DataFrame:
+        """grp, class, term, c (> 0) of one model."""
+        each = F.array(*[F.struct(F.lit(grp).alias("grp"), F.lit(c).alias("class"), self.count(g, c, model).alias("c")) for g, grp, c in self.cells])
+        return self.table.select("term", F.explode(each).alias("x")).select("x.grp", "x.class", "term", "x.c").where(F.col("c").isNotNull())
 
 
 def term_frequencies(tokens: DataFrame, key: str = "uid") -> DataFrame:
@@ -51,74 +95,45 @@ def term_frequencies(tokens: DataFrame, key: str = "uid") -> DataFrame:
     return tokens.groupBy(key, F.lower("term").alias("term")).agg(F.count(F.lit(1)).alias("tf"))
 
 
-def _leave_one_out(per_fold: DataFrame, keys: list[str], value: str, models: list[int]) -> DataFrame:
-    """Per model: the sum over the folds it keeps. Each per-fold row is sent to every model that
-    does not leave its fold out (an explode), then one aggregate; no join."""
-    rest = [k for k in keys if k != "grp"]
-    kept_by = F.filter(F.array(*[F.lit(m) for m in models]), lambda m: m != F.col("fold"))
-    exploded = per_fold.withColumn("model", F.explode(kept_by))
-    return exploded.groupBy("grp", "model", *rest).agg(F.sum(value).alias(value)).filter(F.col(value) > 0)
-
-
 def fit(rows: DataFrame, tf: DataFrame, models: list[int]) -> NBModel:
-    """Fit every requested model of every group (M5 / M6 / M8 in one job).
-
-    The written weight table holds, per (group, model), the non-zero (class, term) counts plus one
-    marker row (class ``VOCAB``, c = 0) per vocabulary term, so scoring needs a single join."""
-    train = rows.filter(F.col("split") == "train").select(
-        "grp", "uid", "class", F.coalesce(F.col("fold"), F.lit(ALL - 1)).alias("fold"))
-    labelled = tf.join(train, "uid")
-    per_fold = labelled.groupBy("grp", "fold", "class", "term").agg(F.sum("tf").alias("c"))
-    loo = _leave_one_out(per_fold, ["grp", "class", "term"], "c", models)
-    marks = loo.select("grp", "model", "term").distinct().select(
-        "grp", "model", F.lit(VOCAB).alias("class"), "term", F.lit(0).cast("long").alias("c"))
-    weights = materialize(loo.select("grp", "model", "class", "term", "c").unionByName(marks))
-    counts = weights.filter(F.col("class") != VOCAB)
-    vocab = weights.filter(F.col("class") == VOCAB).select("grp", "model", "term")
-    vsize = vocab.groupBy("grp", "model").agg(F.count(F.lit(1)).alias("vsize"))
-    ntok = counts.groupBy("grp", "model", "class").agg(F.sum("c").alias("ntok"))
-    docs = _leave_one_out(train.groupBy("grp", "fold", "class").agg(F.count(F.lit(1)).alias("nd")),
-                          ["grp", "class"], "nd", models)
-    n = docs.groupBy("grp", "model").agg(F.sum("nd").alias("n"))
-    classes = materialize(docs.join(n, ["grp", "model"])
-               .join(ntok, ["grp", "model", "class"], "left")
-               .join(vsize, ["grp", "model"], "left")
-               .select("grp", "model", "class", "nd", F.log(F.col("nd") / F.col("n")).alias("log_prior"),
-                       F.coalesce("ntok", F.lit(0)).alias("ntok"), F.coalesce("vsize", F.lit(0)).alias("vsize")))
-    return NBModel(counts, vocab, classes, weights)
-
-
-def _slots(model: NBModel) -> list[tuple[tuple, list]]:
-    """((grp, model), its classes with their counts), in order: groups x folds x classes rows, settings of the run."""
-    found: dict[tuple, list] = {}
-    for r in model.classes.collect():
-        found.setdefault((r["grp"], r["model"]), []).append(r)
-    return [(k, sorted(v, key=lambda r: r["class"])) for k, v in sorted(found.items())]
+    """Fit every requested model of every group (M5 / M6 / M8 in one job): one join on the text, one aggregate per term."""
+    train = rows.filter(F.col("split") == "train").select("grp", "uid", "class", F.coalesce("fold", F.lit(UNFOLDED)).alias("fold"))
+    found = train.groupBy("grp", "class", "fold").agg(F.count(F.lit(1)).alias("n")).collect()  # groups x classes x folds
+    groups = {g: i for i, g in enumerate(sorted({r["grp"] for r in found}))}
+    cells = sorted({(groups[r["grp"]], r["grp"], r["class"]) for r in found})
+    folds = sorted({r["fold"] for r in found})
+    docs = {(groups[r["grp"]], r["class"], r["fold"]): r["n"] for r in found}
+    own = [F.max(F.when(F.col("grp") == grp, F.struct("class", "fold"))).alias(f"g{g}") for grp, g in groups.items()]
+    labelled = tf.join(train.groupBy("uid").agg(F.count(F.lit(1)).alias("_n"), *own), "uid")
+    sums = [F.coalesce(F.sum(F.when((F.col(f"g{g}.class") == c) & (F.col(f"g{g}.fold") == f), F.col("tf"))), F.lit(0)).alias(f"n{g}_{c}_{f}".replace("-", "m"))
+            for g, _, c in cells for f in folds]
+    table = materialize(labelled.groupBy("term").agg(F.count(F.lit(1)).alias("texts"), *sums))
+    return NBModel(table, cells, folds, docs, models)
 
 
 def term_vectors(model: NBModel, slots: list[tuple[tuple, list]], alphas: list[float]) -> DataFrame:
     """One row per term: a column per (group, model), 1 where the term is in its vocabulary, and a column per (group,
-    model, class, smoothing) with ``ln((c + a) / a)``."""
+    model, class, smoothing) with ``ln((c + a) / a)``, null where the class never has the term."""
     cols = []
-    for j, ((grp, m), classes) in enumerate(slots):
-        own = (F.col("grp") == grp) & (F.col("model") == m)
-        cols.append(F.max(F.when(own & (F.col("class") == VOCAB), 1)).alias(f"v{j}"))
-        for i, c in enumerate(classes):
-            count = F.max(F.when(own & (F.col("class") == c["class"]), F.col("c")))
-            cols += [F.log((count + F.lit(float(a))) / F.lit(float(a))).alias(f"w{j}_{i}_{n}") for n, a in enumerate(alphas)]
-    return model.weights.groupBy("term").agg(*cols)
+    for j, ((_, m), classes) in enumerate(slots):
+        counts = [model.count(c["g"], c["class"], m) for c in classes]
+        cols.append(F.when(F.coalesce(*counts).isNotNull(), 1).alias(f"v{j}"))
+        cols += [F.log((n + F.lit(float(a))) / F.lit(float(a))).alias(f"w{j}_{i}_{k}") for i, n in enumerate(counts) for k, a in enumerate(alphas)]
+    return model.table.select("term", *cols)
 
 
-def predict(model: NBModel, targets: DataFrame, tf: DataFrame, alphas: list[float] | None = None) -> DataFrame:
-    """``grp, uid, model, alpha, pred`` for each target row ``grp, uid, model``.
+def predict(model: NBModel, targets: DataFrame, tf: DataFrame, alphas: list[float] | None = None, with_scores: bool = False) -> DataFrame:
+    """``grp, uid, model, alpha, pred`` for each target row ``grp, uid, model`` (M7, M12); ``with_scores`` adds the rounded
+    scores of the model's classes, an array of (cls, score).
 
     A term's weights for all groups, models, classes and smoothing values are one row (``term_vectors``), so a text's
     terms are looked up once whatever it is scored for, and one aggregate per text gives all sums; the target rows
     then pick theirs. Priors and totals are numbers of the plan (one per group, model and class)."""
     alphas = alphas or [1.0]
-    slots = _slots(model)
+    slots = [s for s in model.slots() if s[1]]
     if not slots:
-        return targets.select("grp", "uid", "model", F.lit(None).cast("double").alias("alpha"), F.lit(None).cast("int").alias("pred")).limit(0)
+        return targets.select("grp", "uid", "model", F.lit(None).cast("double").alias("alpha"), F.lit(None).cast("int").alias("pred"),
+                              *[F.lit(None).cast("array<struct<cls:int,score:double>>").alias("scores")] * with_scores).limit(0)
     needed = tf.join(targets.select("uid").distinct(), "uid", "left_semi")
     vectors = term_vectors(model, slots, alphas)
     joined = term_join(needed, vectors, "term", max_rows=MAX_BROADCAST_MODEL_TERMS)
@@ -127,22 +142,24 @@ def predict(model: NBModel, targets: DataFrame, tf: DataFrame, alphas: list[floa
              for j, (_, classes) in enumerate(slots) for i in range(len(classes)) for n in range(len(alphas))]
     per_text = joined.groupBy("uid").agg(*sums)
 
-    def best(j: int, n: int) -> F.Column:
-        """The class with the greatest rounded score, the lowest one on ties."""
+    def ranked_classes(j: int, n: int) -> Column:
+        """(-score, class) of each class; the least one has the greatest rounded score, the lowest class on ties."""
         a, ranked = alphas[n], []
         for i, c in enumerate(slots[j][1]):
             score = (F.lit(c["log_prior"]) + F.coalesce(F.col(f"v{j}"), F.lit(0)) * F.lit(math.log(a) - math.log(c["ntok"] + a * c["vsize"]))
                      + F.coalesce(F.col(f"w{j}_{i}_{n}"), F.lit(0.0)))
             ranked.append(F.struct((-F.round(score, ROUND)).alias("neg"), F.lit(c["class"]).alias("cls")))
-        return F.array_min(F.array(*ranked))["cls"]
+        return F.array(*ranked)
 
     scored = targets.join(per_text, "uid", "left")
     picked = None
     for j, ((grp, m), _) in enumerate(slots):
-        preds = F.array(*[F.struct(F.lit(float(a)).alias("alpha"), best(j, n).alias("pred")) for n, a in enumerate(alphas)])
+        preds = F.array(*[F.struct(F.lit(float(a)).alias("alpha"), ranked_classes(j, n).alias("ranked")) for n, a in enumerate(alphas)])
         own = (F.col("grp") == grp) & (F.col("model") == m)
         picked = F.when(own, preds) if picked is None else picked.when(own, preds)
-    return scored.select("grp", "uid", "model", F.explode(picked).alias("p")).select("grp", "uid", "model", "p.alpha", "p.pred")
+    out = scored.select("grp", "uid", "model", F.explode(picked).alias("p")).withColumn("pred", F.array_min("p.ranked")["cls"])
+    scores = [F.transform("p.ranked", lambda r: F.struct(r["cls"].alias("cls"), (-r["neg"]).alias("score"))).alias("scores")]
+    return out.select("grp", "uid", "model", "p.alpha", "pred", *scores * with_scores)
 
 
 def validation_targets(rows: DataFrame) -> DataFrame:

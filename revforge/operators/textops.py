@@ -26,12 +26,13 @@ PAD_ID, UNK_ID, BOS_ID, EOS_ID = 0, 1, 2, 3
 N_SPECIAL = 4
 
 
-def token_table(df: DataFrame, text: str = "review", key: str = "row_id", clean: bool = False) -> DataFrame:
-    """``key, pos, term``: one row per token of the raw text (pos is 0-based).
+def token_table(df: DataFrame, text: str = "review", key: str = "row_id", clean: bool = False, most: int | None = None) -> DataFrame:
+    """``key, pos, term``: one row per token of the raw text (pos is 0-based), or of its first ``most`` tokens.
 
     ``clean`` deletes everything but printable ASCII first, as the classifiers' inputs have it."""
     source = clean_ascii(text) if clean else F.col(text)
-    return spread(df, key).select(key, F.posexplode(word_tokens(source)).alias("pos", "term"))
+    tokens = word_tokens(source)
+    return spread(df, key).select(key, F.posexplode(tokens if most is None else F.slice(tokens, 1, most)).alias("pos", "term"))
 
 
 def tokenized(df: DataFrame, text: str = "review", out: str = "tokens", key: str = "row_id") -> DataFrame:
@@ -91,12 +92,9 @@ def lemma_vocabulary(vocab: DataFrame, lex: DataFrame) -> DataFrame:
     """
     # spread: a small written vocabulary is one file (one task); the aggregate by term reuses the layout
     cands = spread(vocab, "term").select("term", F.explode(_suffix_candidates(F.col("term"))).alias("cand"))
-    hits = cands.join(lex, F.col("cand") == F.col("word"), "left_semi")
-    best = hits.groupBy("term").agg(F.min(F.struct(F.length("cand").alias("n"), F.col("cand"))).alias("b"))
-    return (
-        vocab.join(best, "term", "left")
-        .select("term", F.coalesce(F.col("b.cand"), F.col("term")).alias("lemma"))
-    )
+    hits = cands.join(lex.withColumn("hit", F.lit(True)), F.col("cand") == F.col("word"), "left")
+    best = hits.groupBy("term").agg(F.min(F.when(F.col("hit"), F.struct(F.length("cand").alias("n"), F.col("cand")))).alias("b"))
+    return best.select("term", F.coalesce(F.col("b.cand"), F.col("term")).alias("lemma"))
 
 
 def stem_vocabulary(tokens: DataFrame) -> DataFrame:

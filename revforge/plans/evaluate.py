@@ -2,24 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.constants import FLAG_ORDER, LABEL_CODES, REPORT_ORDER
-from ..functions.hashing import hash_bucket, hash_int
 from ..functions.scores import argmax, sigmoid, threshold, unwrap_scores
-from ..operators import labels, metrics, splits
+from ..operators import centroids, labels, metrics, nb, splits
 from ..operators.columns import filter_present
+from ..session import materialize
 from ..sources import bindings
 from .common import coded_reviews, normalise
+from .models import FLAGS, FOLDS, cv_scores, flag_problem, pair_problem
 
-FOLDS = 5
-FLAGS = ["bug_report", "user_experience", "rating", "feature_request"]
-# ---- fixed values: seeds of the simulated predictions -------------------------------------
-PRED_SEED = 7          # a row's prediction is wrong when its bucket (of 100) is below PRED_ERROR
-PRED_ERROR = 30
-FLAG_SEED_BASE = 100   # flag j uses seed FLAG_SEED_BASE + j
-SCORE_SEED_BASE = 200  # class score c uses seed SCORE_SEED_BASE + c
+NO_SCORE = -1e9  # of a class that a model never met
 REPORT_CLASSES = [(LABEL_CODES[n], n) for n in REPORT_ORDER]
 
 
@@ -28,24 +23,25 @@ def present(spark: SparkSession, root: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, root: str) -> DataFrame:
-    """Rows with a stratified fold, the true code and a simulated predicted code."""
-    f = splits.folds_stratified(present(spark, root), FOLDS, label="label")
-    wrong = hash_bucket(PRED_SEED, "row_id", 100) < F.lit(PRED_ERROR)
-    return f.select("row_id", "fold", F.col("new_label").alias("truth"),
-                    F.when(wrong, F.pmod(F.col("new_label") + 1, F.lit(4))).otherwise(F.col("new_label"))
-                    .cast("int").alias("pred"))
+    """Every training row of the pair problem as the naive Bayes model that left its fold out predicts it."""
+    rows, tf = pair_problem(spark, root)
+    return materialize(cv_scores(rows, tf, FOLDS).select(F.col("uid").alias("row_id"), F.col("model").alias("fold"), "truth", "pred"))
 
 
 def flag_scored(spark: SparkSession, root: str) -> DataFrame:
-    """Multi-label rows with simulated logits, sigmoid probabilities and thresholded flags."""
-    m = bindings.multilabel_reviews(spark, root)
-    logits = F.array(*[
-        (F.pmod(hash_int(FLAG_SEED_BASE + j, "row_id"), F.lit(2001)) - F.lit(1000)).cast("double") / F.lit(250.0)
-        + (F.col(c) * 2 - 1).cast("double") for j, c in enumerate(FLAGS)])
-    s = m.select("row_id", *FLAGS, logits.alias("logits"))
+    """Held-out multi-label rows with the log odds of each flag as logits, and the flags after sigmoid and threshold."""
+    rows, tf = flag_problem(spark, root)
+    preds = nb.predict(nb.fit(rows, tf, [nb.ALL]), nb.holdout_targets(rows), tf, with_scores=True)
+
+    def score(cls: int) -> Column:
+        return F.coalesce(F.get(F.filter("scores", lambda s: s["cls"] == cls), F.lit(0))["score"], F.lit(NO_SCORE))
+
+    odds = preds.join(rows.select("grp", "uid", F.col("class").alias("truth")), ["grp", "uid"]).select("uid", "grp", "truth", (score(1) - score(0)).alias("odds"))
+    of = lambda c, j: F.max(F.when(F.col("grp") == f"flag{j}", F.col(c)))
+    s = odds.groupBy(F.col("uid").alias("row_id")).agg(*[of("truth", j).alias(c) for j, c in enumerate(FLAGS)],
+                                                       F.array(*[of("odds", j) for j in range(len(FLAGS))]).alias("logits"))
     s = s.withColumn("flags", threshold(sigmoid(F.col("logits"))))
-    return s.select("row_id", *FLAGS, "logits", "flags",
-                    *[F.col("flags")[j].alias(f"pred_{c}") for j, c in enumerate(FLAGS)])
+    return materialize(s.select("row_id", *FLAGS, "logits", "flags", *[F.col("flags")[j].alias(f"pred_{c}") for j, c in enumerate(FLAGS)]))
 
 
 def q_split_stratified(spark, root):
@@ -110,7 +106,7 @@ def q_fold_scores(spark, root):
 
 def q_label_decode(spark, root):
     s = scored(spark, root)
-    d = labels.label_fit(present(spark, root))
+    d = labels.label_fit(filter_present(bindings.pair_class_reviews(spark, root)))
     return normalise(labels.label_decode(s, d, "pred", "pred_label").select("row_id", "pred", "pred_label"))
 
 
@@ -121,11 +117,12 @@ def q_label_encode(spark, root):
 
 
 def q_argmax_label(spark, root):
-    p = present(spark, root)
-    scores = F.array(*[F.pmod(hash_int(SCORE_SEED_BASE + c, "row_id"), F.lit(10)).cast("double")
-                       for c in range(4)])
-    nested = p.select("row_id", F.array(scores, F.array(*[F.lit(9.0)] * 4)).alias("logits"))
-    return normalise(nested.select("row_id", argmax(unwrap_scores(nested, "logits")).alias("pred")))
+    """Nested scores (a tuple whose first item holds the logits): minus the distances of each vector to the class means."""
+    e = bindings.read_table(spark, root, "embeddings").select(
+        F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.col("label").cast("int").alias("label"))
+    scores = centroids.mean_scores(e, centroids.class_means(e, "embedding", "label"), "embedding", "label")
+    nested = scores.select("vec_id", F.array(F.col("scores"), F.array(F.lit(0.0))).alias("logits"))
+    return normalise(nested.select("vec_id", argmax(unwrap_scores(nested, "logits")).alias("pred")))
 
 
 def q_sigmoid_flags(spark, root):

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.constants import REPORT_ORDER, LABEL_CODES
-from ..operators import labels, metrics, nb, search, splits, textops
+from ..operators import centroids, labels, metrics, nb, search, splits, textops
 from ..operators.columns import filter_present
 from ..operators.matrix import matrix_problem
 from ..sources import bindings
@@ -61,8 +61,8 @@ def cv_scores(rows: DataFrame, tf: DataFrame, folds: int, model: nb.NBModel | No
 def q_nb_term_counts(spark, root):
     rows, tf = pair_problem(spark, root)
     model = nb.fit(rows, tf, [nb.ALL])
-    terms = model.counts.groupBy("class").agg(F.count(F.lit(1)).alias("n_terms"))
-    return normalise(model.classes.join(terms, "class", "left").select(
+    terms = model.counts().groupBy("class").agg(F.count(F.lit(1)).alias("n_terms"))
+    return normalise(model.class_table(spark).join(terms, "class", "left").select(
         "class", "nd", "ntok", "vsize", F.coalesce("n_terms", F.lit(0)).alias("n_terms")))
 
 
@@ -277,6 +277,16 @@ def q_embed_lr(spark, root):
     return normalise(pred.select("vec_id", F.col("label").alias("truth"), F.col("prediction").alias("pred")))
 
 
+def q_embed_means(spark, root):
+    """Held-out vectors by the nearest class mean of the training vectors."""
+    e = bindings.read_table(spark, root, "embeddings").select(
+        F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.col("label").cast("int").alias("label"))
+    s = splits.split_stratified(e, label="label", key="vec_id")
+    means = centroids.class_means(s.filter(F.col("split") == "train"), "embedding", "label")
+    pred = centroids.nearest_mean(s.filter(F.col("split") == "test"), means, "embedding", "label")
+    return normalise(pred.select("vec_id", F.col("label").alias("truth"), "pred"))
+
+
 def q_dataset_catalog(spark, root):
     """The data directory as a dataset catalog: files by size, with name pieces and rank."""
     from ..sources import io
@@ -288,6 +298,7 @@ QUERIES = {
     "ovr_svc": q_ovr_svc,
     "lr_multilabel": q_lr_multilabel,
     "embed_lr": q_embed_lr,
+    "embed_means": q_embed_means,
     "dataset_catalog": q_dataset_catalog,
     "nb_term_counts": q_nb_term_counts,
     "nb_predict": q_nb_predict,

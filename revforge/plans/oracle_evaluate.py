@@ -40,22 +40,10 @@ rnd AS (SELECT row_id, label,
                          <= count(*) OVER () - (count(*) OVER () + 4) // 5 THEN 'train' ELSE 'test' END AS split
         FROM present)"""
 
-SCORED = f"""{PRESENT},
+FOLDED = f"""{PRESENT},
 folds AS (SELECT row_id, label, new_label,
                  (row_number() OVER (ORDER BY label, {H(42, 'row_id')}, row_id) - 1) % 5 AS fold
-          FROM present),
-scored AS (SELECT row_id, fold, new_label AS truth,
-                  CASE WHEN {HI(7, 'row_id')} % 100 < 30 THEN (new_label + 1) % 4 ELSE new_label END AS pred
-           FROM folds),
-pc AS (SELECT fold, truth, pred, count(*) AS n FROM scored GROUP BY fold, truth, pred),
-cc AS (SELECT fold, CAST(c.class AS BIGINT) AS class,
-              sum(CASE WHEN truth = c.class AND pred = c.class THEN n ELSE 0 END) AS tp,
-              sum(CASE WHEN pred = c.class AND truth <> c.class THEN n ELSE 0 END) AS fp,
-              sum(CASE WHEN truth = c.class AND pred <> c.class THEN n ELSE 0 END) AS fn,
-              sum(CASE WHEN truth = c.class THEN n ELSE 0 END) AS support
-       FROM pc, (VALUES (0), (1), (2), (3)) c(class) GROUP BY fold, c.class),
-acc AS (SELECT fold, avg(CASE WHEN truth = pred THEN 1.0 ELSE 0.0 END)::DOUBLE AS accuracy, count(*) AS n
-        FROM scored GROUP BY fold)"""
+          FROM present)"""
 
 
 def ratio(num: str, den: str) -> str:
@@ -67,29 +55,6 @@ def report(src: str) -> str:
             f"{ratio('2 * tp', '2 * tp + fp + fn')} AS f1 FROM {src}")
 
 
-FLAGS = ["bug_report", "user_experience", "rating", "feature_request"]
-
-
-def _logit(j: int, c: str) -> str:
-    return f"(CAST({HI(100 + j, 'row_id')} % 2001 - 1000 AS DOUBLE) / 250.0 + CAST(2 * {c} - 1 AS DOUBLE))"
-
-
-FLAGGED = f"""WITH {MULTI},
-fl AS (SELECT row_id, {', '.join(FLAGS)},
-              {', '.join(f"CASE WHEN 1.0 / (1.0 + exp(-{_logit(j, c)})) > 0.5 THEN 1 ELSE 0 END AS pred_{c}"
-                         for j, c in enumerate(FLAGS))}
-       FROM multi),
-fc AS ({' UNION ALL '.join(
-    f"SELECT CAST({j} AS BIGINT) AS class, sum(CASE WHEN {c} = 1 AND pred_{c} = 1 THEN 1 ELSE 0 END) AS tp, "
-    f"sum(CASE WHEN {c} = 0 AND pred_{c} = 1 THEN 1 ELSE 0 END) AS fp, "
-    f"sum(CASE WHEN {c} = 1 AND pred_{c} = 0 THEN 1 ELSE 0 END) AS fn, sum({c}) AS support FROM fl"
-    for j, c in enumerate(FLAGS))})"""
-
-WIDE_COLS = []
-for code, slug in [(0, "bug_report"), (1, "feature_request"), (2, "rating"), (3, "user_experience")]:
-    for m, src in (("p", "precision"), ("r", "recall"), ("f1", "f1")):
-        WIDE_COLS.append(f"max(CASE WHEN class = {code} THEN {src} END) AS {slug}_{m}")
-
 SQL = {
     "split_stratified": f"""WITH {STRAT.removeprefix('WITH ')}
 SELECT row_id, label, split FROM strat""",
@@ -101,67 +66,12 @@ FROM strat WHERE split = 'train'""",
     "folds_random": f"""WITH {RANDOM.removeprefix('WITH ')}
 SELECT row_id, (row_number() OVER (ORDER BY {H(42, 'row_id')}, row_id) - 1) % 2 AS fold
 FROM rnd WHERE split = 'train'""",
-    "fold_train_val": f"""WITH {SCORED.removeprefix('WITH ')}
+    "fold_train_val": f"""WITH {FOLDED.removeprefix('WITH ')}
 SELECT r.round, CASE WHEN f.fold = r.round THEN 'val' ELSE 'train' END AS role, count(*) AS n,
        sum(f.row_id)::BIGINT AS sum_id
 FROM folds f, (SELECT unnest(range(5)) AS round) r GROUP BY 1, 2""",
-    "accuracy": f"""WITH {SCORED.removeprefix('WITH ')}
-SELECT fold, round(accuracy, 6) AS accuracy, n FROM acc""",
-    "confusion_counts": f"""WITH {SCORED.removeprefix('WITH ')}
-SELECT fold, class, tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, support::BIGINT AS support FROM cc""",
-    "class_report": f"""WITH {SCORED.removeprefix('WITH ')},
-tot AS (SELECT class, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn,
-               sum(support)::BIGINT AS support FROM cc GROUP BY class)
-SELECT class, tp, fp, fn, support, round(precision, 6) AS precision, round(recall, 6) AS recall,
-       round(f1, 6) AS f1 FROM ({report('tot')})""",
-    "report_averages": f"""WITH {SCORED.removeprefix('WITH ')},
-rep AS ({report('cc')} WHERE support + fp > 0)
-SELECT fold,
-       round(avg(precision), 6) AS macro_precision,
-       round({ratio('sum(precision * support)', 'sum(support)')}, 6) AS weighted_precision,
-       round(avg(recall), 6) AS macro_recall,
-       round({ratio('sum(recall * support)', 'sum(support)')}, 6) AS weighted_recall,
-       round(avg(f1), 6) AS macro_f1,
-       round({ratio('sum(f1 * support)', 'sum(support)')}, 6) AS weighted_f1
-FROM rep GROUP BY fold""",
-    "wide_metrics": f"""WITH {SCORED.removeprefix('WITH ')},
-rep AS ({report('cc')}),
-w AS (SELECT fold, {', '.join(WIDE_COLS)} FROM rep GROUP BY fold)
-SELECT w.fold, round(a.accuracy, 6) AS accuracy,
-       {', '.join(f"round(w.{c.split(' AS ')[1]}, 6) AS {c.split(' AS ')[1]}" for c in WIDE_COLS)}
-FROM w JOIN acc a ON w.fold = a.fold""",
-    "best_fold": f"""WITH {SCORED.removeprefix('WITH ')}
-SELECT fold, round(accuracy, 6) AS accuracy, n FROM acc WHERE accuracy > 0
-ORDER BY accuracy DESC, fold LIMIT 1""",
-    "fold_scores": f"""WITH {SCORED.removeprefix('WITH ')}
-SELECT string_agg(printf('%d:%.6f', fold, accuracy), ',' ORDER BY fold) AS scores FROM acc""",
-    "label_decode": f"""WITH {SCORED.removeprefix('WITH ')},
-dict AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS code
-         FROM (SELECT DISTINCT label FROM present WHERE label IS NOT NULL))
-SELECT s.row_id, s.pred::BIGINT AS pred, d.label AS pred_label FROM scored s LEFT JOIN dict d ON s.pred = d.code""",
     "label_encode": f"""WITH {PAIRS},
 dict AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS code
          FROM (SELECT DISTINCT label FROM pairs WHERE label IS NOT NULL))
 SELECT p.row_id, p.label, d.code::BIGINT AS label_code FROM pairs p JOIN dict d ON p.label = d.label""",
-    "argmax_label": f"""{PRESENT}
-SELECT row_id, (list_position(l, list_max(l)) - 1)::BIGINT AS pred FROM (
-  SELECT row_id, [{', '.join(f"CAST({HI(200 + c, 'row_id')} % 10 AS DOUBLE)" for c in range(4))}] AS l
-  FROM present)""",
-    "sigmoid_flags": f"""{FLAGGED}
-SELECT row_id, {', '.join(f'pred_{c}::BIGINT AS pred_{c}' for c in FLAGS)} FROM fl""",
-    "micro_prf": f"""{FLAGGED},
-p AS (SELECT sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM fc)
-SELECT tp, fp, fn, round({ratio('tp', 'tp + fp')}, 6) AS micro_precision,
-       round({ratio('tp', 'tp + fn')}, 6) AS micro_recall,
-       round({ratio('2 * tp', '2 * tp + fp + fn')}, 6) AS micro_f1 FROM p""",
-    "flag_report": f"""{FLAGGED}
-SELECT class, tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, support::BIGINT AS support,
-       round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1,
-       ['bug report', 'user experience', 'rating', 'feature request'][class + 1] AS flag
-FROM ({report('fc')})""",
-    "samples_avg": f"""{FLAGGED},
-r AS (SELECT {' + '.join(f'{c} * pred_{c}' for c in FLAGS)} AS b, {' + '.join(FLAGS)} AS t,
-             {' + '.join(f'pred_{c}' for c in FLAGS)} AS p FROM fl)
-SELECT round(avg({ratio('b', 'p')}), 6) AS samples_precision, round(avg({ratio('b', 't')}), 6) AS samples_recall,
-       round(avg({ratio('2 * b', 't + p')}), 6) AS samples_f1 FROM r""",
 }

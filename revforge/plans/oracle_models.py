@@ -301,6 +301,16 @@ SQL["cv_multilabel_report"] = f"""{FLAG}, {VALID}, {nb_sql([0, 1], [1.0])}, {JT}
 SQL["holdout_multiclass_report"] = SQL["holdout_multiclass"].split("rep AS (")[0].rstrip().rstrip(",") + f"\n{_ONE}{_class_table('hj')}"
 SQL["holdout_multilabel_report"] = SQL["holdout_multilabel"].split("per AS (SELECT uid")[0].rstrip().rstrip(",") + f"\n{_ONE}{_flag_table('hj')}"
 
+SQL["embed_means"] = f"""WITH src AS (SELECT vec_id::BIGINT AS vec_id, label, embedding FROM embeddings),
+{strat_sql('src', 'vec_id', [], 5)},
+e AS (SELECT label, unnest(range(len(embedding))) AS dim, unnest(embedding)::DOUBLE AS x FROM srows WHERE split = 'train'),
+m AS (SELECT label, dim, avg(x) AS m FROM e GROUP BY label, dim),
+c AS (SELECT label, list(m ORDER BY dim) AS mean FROM m GROUP BY label),
+d AS (SELECT s.vec_id, s.label AS truth, c.label AS pred,
+             round(list_sum(list_transform(range(len(c.mean)), lambda i: (s.embedding[i + 1]::DOUBLE - c.mean[i + 1]) ** 2)), 6) AS dist
+      FROM srows s CROSS JOIN c WHERE s.split = 'test')
+SELECT vec_id, truth::BIGINT AS truth, arg_min(pred, struct_pack(d := dist, p := pred))::BIGINT AS pred FROM d GROUP BY vec_id, truth"""
+
 # hp_search needs the candidate smoothing values as literals of the scoring; they are computed here
 # with the same rule the SQL uses, so the SQL stays a single statement.
 

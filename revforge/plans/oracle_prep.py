@@ -128,10 +128,10 @@ b AS (SELECT row_id, new_label, class_rank FROM (
         FROM coded) q
       JOIN (VALUES (0, 50), (1, 50), (2, 200), (3, 50)) quota(qlabel, k) ON q.new_label = quota.qlabel
       WHERE class_rank <= k)
-SELECT 'row_id' AS "column", CAST(sum(row_id) AS DOUBLE) AS total FROM b
-UNION ALL SELECT 'new_label', CAST(sum(new_label) AS DOUBLE) FROM b
-UNION ALL SELECT 'class_rank', CAST(sum(class_rank) AS DOUBLE) FROM b
-UNION ALL SELECT 'empty_flag', 0.0""",
+SELECT 'row_id' AS "column", CAST(sum(row_id) AS DOUBLE) AS total, CAST(sum(row_id) AS VARCHAR) AS exact FROM b
+UNION ALL SELECT 'new_label', CAST(sum(new_label) AS DOUBLE), CAST(sum(new_label) AS VARCHAR) FROM b
+UNION ALL SELECT 'class_rank', CAST(sum(class_rank) AS DOUBLE), CAST(sum(class_rank) AS VARCHAR) FROM b
+UNION ALL SELECT 'empty_flag', 0.0, '0'""",
     "label_dictionary": f"""{BASE}
 SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS BIGINT) AS label_code
 FROM (SELECT DISTINCT label FROM recoded WHERE label IS NOT NULL)""",

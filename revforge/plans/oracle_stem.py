@@ -69,8 +69,9 @@ STEPS = [
 ]
 
 
-def _chain() -> str:
-    out = ["terms AS MATERIALIZED (SELECT DISTINCT term FROM trows)",
+def stem_chain(with_terms: bool = True) -> str:
+    """Table expressions from ``terms`` (of ``trows``) to ``stems(term, stem)``."""
+    out = ["terms AS MATERIALIZED (SELECT DISTINCT term FROM trows)"] * with_terms + [
            f"s0 AS MATERIALIZED (SELECT w, {MASK} AS m, false AS marked FROM (SELECT DISTINCT lower(term) AS w FROM terms) WHERE length(w) > 2)",
            "k0 AS (SELECT w AS word, w, m, marked FROM s0)"]
     for i, rule in enumerate(STEPS, 1):
@@ -85,9 +86,9 @@ def _chain() -> str:
 
 
 SQL = {
-    "stem_vocab": f"WITH {RAW}, {TOKS}, {TOKEN_ROWS},\n{_chain()}\nSELECT term, stem FROM stems",
+    "stem_vocab": f"WITH {RAW}, {TOKS}, {TOKEN_ROWS},\n{stem_chain()}\nSELECT term, stem FROM stems",
     "stem_text": f"""WITH {RAW}, {TOKS}, {TOKEN_ROWS},
-{_chain()}
+{stem_chain()}
 SELECT r.row_id, count(*) AS n_tokens, md5(string_agg(s.stem, ' ' ORDER BY r.pos)) AS stem_md5
 FROM trows r JOIN stems s ON r.term = s.term GROUP BY r.row_id""",
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import evaluate, gradient, logs, models, oracle_evaluate, oracle_logs, oracle_models, oracle_prep, oracle_stem, oracle_text, prep, text
+from . import chains, evaluate, gradient, logs, models, oracle_chains, oracle_evaluate, oracle_logs, oracle_models, oracle_prep, oracle_scored, oracle_stem, oracle_text, prep, text
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,8 +24,8 @@ def all_oracle_sql() -> dict[str, str]:
 
 
 def _modules():
-    return [prep, text, evaluate, logs, models, gradient]
+    return [prep, text, evaluate, logs, models, gradient, chains]
 
 
 def _oracle_modules():
-    return [oracle_prep, oracle_text, oracle_stem, oracle_evaluate, oracle_logs, oracle_models]
+    return [oracle_prep, oracle_text, oracle_stem, oracle_chains, oracle_scored, oracle_evaluate, oracle_logs, oracle_models]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.constants import MAX_TOKENS
 from ..functions.text import drop_stop_words
 from ..operators import textops
 from ..operators.columns import filter_present
@@ -72,7 +73,8 @@ def q_vocab_fit(spark: SparkSession, root: str) -> DataFrame:
 def q_encode_fixed(spark: SparkSession, root: str) -> DataFrame:
     docs = filter_present(_docs(spark, root))
     toks = textops.token_table(docs, clean=True)
-    enc = textops.encode_fixed(docs, toks, textops.vocab_fit(toks))
+    first = textops.token_table(docs, clean=True, most=MAX_TOKENS - 2)  # no more of a text is exploded than an encoding holds
+    enc = textops.encode_fixed(docs, first, textops.vocab_fit(toks))
     return normalise(enc.select(
         "row_id", F.size("input_ids").alias("n_ids"),
         F.aggregate("attention_mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_real"),

@@ -62,6 +62,8 @@ def test_sums_of_large_longs(spark):
     from revforge.operators.aggregates import numeric_sums
     got = numeric_sums(spark.createDataFrame([(2 ** 62,), (2 ** 62,)], "n long")).first()
     assert got.total == float(2 ** 63)
+    odd = numeric_sums(spark.createDataFrame([(2 ** 53,), (1,)], "n long")).first()
+    assert odd.exact == str(2 ** 53 + 1)
 
 
 def test_small_helpers(spark):
