@@ -40,7 +40,7 @@ BANDS, ROWS = 12, 4
 SAMPLES = BANDS * ROWS
 DF_BITS = 18
 CHUNK_BITS = 12
-COMMON = 0.5
+DAMP = 0.5  # idf runs from 1 (in every document) to 1 + DAMP (in one)
 ALL_PAIRS = 5
 PART = 1024
 NEAREST = 2
@@ -139,13 +139,16 @@ def _add_counts(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def inverse_frequencies(words: DataFrame, total: int) -> np.ndarray:
-    """log(1 + documents / frequency) per counter, frequencies under COMMON of all documents counted as that: a
-    group of near copies, however large, keeps its full weight, and only what most documents share loses. Each task sends one table of counters; they are added by chunk."""
+    """1 + DAMP * log(documents / frequency) / log(documents) per counter. Every frequency has its own weight, but the
+    rarest weighs no more than 1 + DAMP times the commonest: undamped, what a large group of near copies shares would weigh a
+    fraction of the few words in which each differs, and the group would fall apart. Each task sends one table of
+    counters; they are added by chunk."""
     parts = words.mapInArrow(_count_df, "chunk int, n binary").groupBy("chunk").applyInPandas(_add_counts, "chunk int, n binary")
     df = np.zeros(1 << DF_BITS, np.int64)
     for r in parts.collect():  # 2 ** (DF_BITS - CHUNK_BITS) rows, 2 MB in all
         df[r["chunk"] << CHUNK_BITS:(r["chunk"] + 1) << CHUNK_BITS] = np.frombuffer(r["n"], np.int64)
-    return np.log1p(max(total, 1) / np.maximum(df, max(COMMON * total, 1)))
+    n = max(total, 2)
+    return 1.0 + DAMP * np.log(n / np.clip(df, 1, n)) / np.log(n)
 
 
 def _sign(sampler: Sampler) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

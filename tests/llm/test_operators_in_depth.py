@@ -210,3 +210,27 @@ def test_pipeline_on_odd_tables(spark):
         pieces = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
         assert sum(r.length for r in pieces if r.start == 0 or r.start > 0) == sum(r.length for r in pieces)
         assert bool(pieces) == (table is df)
+
+
+def test_near_duplicates_weigh_shingles_by_frequency(spark):
+    """Counters of other frequencies have other weights, within the bound; similarity is that of brute force."""
+    from revforge.llm import neardup
+
+    rng = random.Random(9)
+    text = lambda n: " ".join(rng.choice("abcdefghij") + rng.choice("klmnop") for _ in range(n))
+    common = "these ten words are the same in many of the texts"
+    base = text(60)
+    words = base.split()
+    rows = [(i, f"{text(40)} {common}" if i % 2 else text(45)) for i in range(200)]
+    rows += [(300, base), (301, " ".join(words[:57] + ["x", "y", "z"])), (302, " ".join(words[:30] + text(30).split())), (303, base)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    hashed = df.select(neardup._word_hashes().alias("w"))
+    idf = neardup.inverse_frequencies(hashed, len(rows))
+    assert len(set(np.round(idf, 6))) > 2 and idf.min() >= 1.0 and idf.max() <= 1.0 + neardup.DAMP
+
+    sampler = neardup.Sampler(idf)
+    parts = [neardup.shingles(np.array(r.w, np.int64).view(np.uint64)) for r in hashed.collect()]
+    near = {(rows[i][0], rows[j][0]) for i in range(len(rows)) for j in range(i) if sampler.similarity(parts[i], parts[j]) >= neardup.SIMILARITY}
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(df).collect()}
+    assert near and all(got[a] == got[b] for a, b in near)
+    assert got[301] == got[300] == got[303] == 300 and got[302] == 302
