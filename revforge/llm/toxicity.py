@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -131,7 +132,7 @@ class _Sparse:
 def train(texts: list[str], labels: np.ndarray, share: float, steps: int = STEPS, seed: int = 8) -> Model:
     """Joint training of the subword table and the softmax; ``share``: toxic share of all labelled rows."""
     vocab: dict[str, int] = {}
-    win, word, doc = [], [], []
+    win, word, doc = array("i"), array("i"), array("i")
     for d, t in enumerate(texts):
         ws = words_in(t)
         starts = window_starts(len(ws))
@@ -143,13 +144,13 @@ def train(texts: list[str], labels: np.ndarray, share: float, steps: int = STEPS
     if not vocab:
         return Model(None, 0.0, share)
     rows, owner = subwords(list(vocab))
-    met = np.bincount(word, minlength=len(vocab))  # windows that hold the word
+    met = np.bincount(np.frombuffer(word, np.int32), minlength=len(vocab))  # windows that hold the word
     common = np.bincount(rows, weights=met[owner], minlength=1 << BITS)[rows] >= MIN_WINDOWS
     of_word = np.bincount(owner, minlength=len(vocab))  # rows left out count as zero vectors
     used, local = np.unique(rows[common], return_inverse=True)
     to_words = _Sparse(owner[common], local, len(vocab), len(used), of_word)
-    to_wins = _Sparse(np.array(win), np.array(word), len(doc), len(vocab), LEAST)
-    doc_a = np.array(doc)
+    to_wins = _Sparse(np.frombuffer(win, np.int32), np.frombuffer(word, np.int32), len(doc), len(vocab), LEAST)
+    doc_a = np.frombuffer(doc, np.int32)
     first = np.flatnonzero(np.diff(doc_a, prepend=-1))
     y = labels.astype(np.float32)
     tune = np.arange(len(y)) % 5 == 4  # a fifth of the sample sets the calibration only
@@ -231,7 +232,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chars:
     got = rows.select("id", F.col("m.t").alias("t"), "toxic").toPandas().sort_values("id")
     if got["toxic"].nunique() < 2:
         return Model(None, 0.0, share)
-    return train(got["t"].tolist(), got["toxic"].to_numpy(), share)
+    texts, known = got["t"].tolist(), got["toxic"].to_numpy()
+    del got
+    return train(texts, known, share)
 
 
 def sliced(text: F.Column, most: int) -> F.Column:
