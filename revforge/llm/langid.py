@@ -19,14 +19,16 @@ are not read.
 
 from __future__ import annotations
 
-import re
+import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,15 +46,18 @@ ALPHA, BETA = 0.3, 0.1
 L1, L2 = 0.05, 0.01
 KEPT_WORDS = 200_000
 UNKNOWN = "und"
-_RUN = re.compile(r"[^\W\d_]+")
+_RUN = regex.compile(r"\p{L}+")
+_LETTERS = bytes(c if chr(c).isalpha() else 0x20 for c in range(256))  # Latin-1, all else blank
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_in(text: str) -> list[str]:
-    """Lower-case runs of letters (a run of other alphanumerics alone is no word)."""
+    """Lower-case runs of letters."""
     low = text.lower()
-    runs = _RUN.findall(low)
-    return runs if low.isascii() else [w for w in runs if any(map(str.isalpha, w))]
+    try:
+        return low.encode("latin-1").translate(_LETTERS).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return _RUN.findall(low)
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -81,6 +86,7 @@ class Model:
     weights: np.ndarray | None = None
     bias: np.ndarray | None = None
     temperature: float = 1.0
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)  # of the fit; a worker keeps the words it met by it
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -179,29 +185,47 @@ class Scorer:
         return out
 
 
+_SCORERS: dict[str, Scorer] = {}
+
+
+def scorer_for(model: Model) -> Scorer:
+    """One scorer, with the words it knows, for all tasks of a Python worker that use the same fit."""
+    if model.name not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[model.name] = Scorer(model)
+    _SCORERS[model.name].model = model
+    return _SCORERS[model.name]
+
+
 def bucket_of(name: str) -> Column:
     """crc32 of the id as text, modulo 4; -1 for a null id."""
     return F.coalesce(F.pmod(F.crc32(F.col(name).cast("string").cast("binary")), F.lit(4)), F.lit(-1))
 
 
+@lru_cache(maxsize=1)
+def known_columns() -> dict[str, np.ndarray]:
+    """The n-gram columns of the words that a Python worker has met."""
+    return {}
+
+
 def document_frequencies(learn: DataFrame) -> tuple[int, np.ndarray]:
     """Number of texts, and per column the number of texts with it; one vector a map task, added up by column."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen, texts, known = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, bool), 0, {}
+        total, seen, texts, known = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, bool), 0, known_columns()
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 texts += 1
                 ws = set(words_in(t or ""))
-                if len(known) > KEPT_WORDS // 4:
+                if len(known) > KEPT_WORDS:
                     known.clear()
                 if new := [w for w in ws if w not in known]:
                     cols, owner = grams(new)
                     order = np.argsort(owner, kind="stable")
                     known.update(zip(new, np.split(cols[order].astype(np.int32), np.flatnonzero(np.diff(owner[order])) + 1)))
                 if ws:
-                    met = np.concatenate([known[w] for w in ws])
-                    seen[met] = True
-                    total += seen
+                    seen[np.concatenate([known[w] for w in ws])] = True
+                    met = np.flatnonzero(seen)
+                    total[met] += 1
                     seen[met] = False
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(total[at], texts), pa.int64())], ["col", "n"])
@@ -253,7 +277,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, classes: int = CLASSES) -> Model:
 
 def _logits(model: Model) -> Callable[[Iterator[pd.Series]], Iterator[pd.Series]]:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = Scorer(model)
+        scorer = scorer_for(model)
         for texts in batches:
             yield pd.Series(list(scorer.logits(texts.tolist())))
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
@@ -265,7 +289,7 @@ def scorer_of(model: Model) -> Callable[[Iterator[pd.Series]], Iterator[pd.DataF
     names = np.array([*model.langs, UNKNOWN], object)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(model)
+        scorer = scorer_for(model)
         for texts in batches:
             if not scorer.k:
                 yield pd.DataFrame({"lang_pred": [UNKNOWN] * len(texts), "score": np.zeros(len(texts))})
