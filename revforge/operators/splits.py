@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import SEED, TEST_SHARE
 from ..functions.hashing import hash_key
+from ..session import materialize
 from .joins import checked_broadcast
 
 MAX_ALLOCATION_ROWS = 1_000_000
@@ -34,16 +35,16 @@ def _share(share: float) -> tuple[int, int]:
 
 
 def class_allocation(df: DataFrame, label: str, test_share: float = TEST_SHARE,
-                     groups: list[str] | None = None) -> DataFrame:
+                     groups: list[str] | None = None, weight: str | None = None) -> DataFrame:
     """``[groups..], label, n_class, n_train_class``: train rows per class, shares kept exactly.
 
     n_test = ceil(n * share); per class floor(n_c * n_train / n), the left-over rows going to the
     largest remainders (ties by label). Integer arithmetic only; the table has one row per
-    (group, class), so its windows are small.
+    (group, class), so its windows are small. ``weight``: a column of row counts, where ``df`` has counted already.
     """
     groups = groups or []
     num, den = _share(test_share)
-    cls = df.groupBy(*groups, label).agg(F.count(F.lit(1)).alias("n_class"))
+    cls = df.groupBy(*groups, label).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n_class"))
     everything = Window.partitionBy(*groups)
     cls = cls.withColumn("_n", F.sum("n_class").over(everything))
     cls = cls.withColumn("_ntrain", F.col("_n") - F.expr(f"(_n * {num} + {den - 1}) div {den}"))
@@ -57,9 +58,13 @@ def class_allocation(df: DataFrame, label: str, test_share: float = TEST_SHARE,
         (F.col("_fl") + F.when(F.col("_rr") <= F.col("_left"), 1).otherwise(0)).cast("long").alias("n_train_class"))
 
 
-def cell_starts(keyed: DataFrame, groups: list[str]) -> DataFrame:
-    """``[groups..], _cell, _before``: rows of the group in earlier cells (groups x cells rows)."""
-    counts = keyed.groupBy(*groups, "_cell").agg(F.count(F.lit(1)).alias("_in"))
+def cell_counts(keyed: DataFrame, groups: list[str]) -> DataFrame:
+    """``[groups..], _cell, _in``: one pass over the rows; a written table of groups x cells rows."""
+    return materialize(keyed.groupBy(*groups, "_cell").agg(F.count(F.lit(1)).alias("_in")))
+
+
+def cell_starts(counts: DataFrame, groups: list[str]) -> DataFrame:
+    """Add ``_before``: rows of the group in earlier cells."""
     before = Window.partitionBy(*groups).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     return counts.withColumn("_before", F.coalesce(F.sum("_in").over(before), F.lit(0)))
 
@@ -75,24 +80,22 @@ def renamed(df: DataFrame, keys: list[str], *others: str) -> tuple[DataFrame, li
             [F.col(k).eqNullSafe(F.col(f"_a{i}")) for i, k in enumerate(keys)])
 
 
-def cell_rank(df: DataFrame, groups: list[str], key: str, seed: int, name: str = "_r") -> DataFrame:
+def cell_rank(keyed: DataFrame, counts: DataFrame, groups: list[str], key: str, name: str = "_r") -> DataFrame:
     """Add ``name``: the 1-based position in hash order within the group."""
-    keyed = with_hash(df, key, seed)
     keys = [*groups, "_cell"]
-    starts, cond = renamed(cell_starts(keyed.select(*keys), groups), keys, "_before")
+    starts, cond = renamed(cell_starts(counts, groups), keys, "_before")
     local = F.row_number().over(Window.partitionBy(*keys).orderBy("_h", key))
     return (keyed.withColumn("_l", local).join(checked_broadcast(starts, MAX_CELL_ROWS), cond)
             .withColumn(name, (F.col("_before") + F.col("_l")).cast("long"))
             .drop("_h", "_cell", "_l", "_before", *[f"_a{i}" for i in range(len(keys))]))
 
 
-def train_cut(keyed: DataFrame, groups: list[str], key: str, wanted: DataFrame) -> DataFrame:
+def train_cut(keyed: DataFrame, counts: DataFrame, groups: list[str], key: str, wanted: DataFrame) -> DataFrame:
     """``[groups..], _cut``: the (hash, key) of the last train row of each group. ``wanted``: groups, n_train_class.
 
     The cell with the cut follows from the cell counts; of the rows only that cell's are ranked."""
-    starts = cell_starts(keyed.select(*groups, "_cell"), groups)
     wanted, cond = renamed(wanted, groups, "n_train_class")
-    at = starts.join(checked_broadcast(wanted, MAX_ALLOCATION_ROWS), cond or F.lit(True)).filter(
+    at = cell_starts(counts, groups).join(checked_broadcast(wanted, MAX_ALLOCATION_ROWS), cond or F.lit(True)).filter(
         (F.col("_before") < F.col("n_train_class")) & (F.col("_before") + F.col("_in") >= F.col("n_train_class")))
     keys = [*groups, "_cell"]
     at, cond = renamed(at.select(*keys, (F.col("n_train_class") - F.col("_before")).alias("_rest")), keys, "_rest")
@@ -108,8 +111,9 @@ def split_stratified(df: DataFrame, label: str = "label", key: str = "row_id", t
     keys = groups + [label]
     keyed = with_hash(df, key, seed)
     narrow = keyed.select(*dict.fromkeys([*keys, "_cell", "_h", key]))
-    alloc = class_allocation(narrow, label, test_share, groups)
-    cuts, cond = renamed(train_cut(narrow, keys, key, alloc), keys, "_cut")
+    counts = cell_counts(narrow, keys)
+    alloc = class_allocation(counts, label, test_share, groups, "_in")
+    cuts, cond = renamed(train_cut(narrow, counts, keys, key, alloc), keys, "_cut")
     # one row per (group, class): broadcast behind a size check
     j = keyed.join(checked_broadcast(cuts, MAX_ALLOCATION_ROWS), cond, "left")
     return _by_cut(j, key).drop("_h", "_cell", "_cut", *[f"_a{i}" for i in range(len(keys))])
@@ -130,8 +134,9 @@ def split_random(df: DataFrame, key: str = "row_id", test_share: float = TEST_SH
     """Add ``split``; the first n_train rows in hash order are train."""
     keyed = with_hash(df, key, seed)
     narrow = keyed.select("_cell", "_h", key)
-    wanted = narrow.agg(train_rows(F.count(F.lit(1)), test_share).alias("n_train_class"))
-    cut = train_cut(narrow, [], key, wanted)  # one row, or none
+    counts = cell_counts(narrow, [])
+    wanted = counts.agg(train_rows(F.coalesce(F.sum("_in"), F.lit(0)), test_share).alias("n_train_class"))
+    cut = train_cut(narrow, counts, [], key, wanted)  # one row, or none
     return _by_cut(keyed.join(F.broadcast(cut), F.lit(True), "left"), key).drop("_h", "_cell", "_cut")
 
 
@@ -139,24 +144,31 @@ def folds_stratified(df: DataFrame, k: int, label: str = "label", key: str = "ro
                      groups: list[str] | None = None) -> DataFrame:
     """``fold`` = (position in ([groups], label, hash) order - 1) mod k: every class spread evenly."""
     keys = (groups or []) + [label]
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)  # one row a class
-    offsets, cond = renamed(sizes.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))), keys, "_off")
-    j = cell_rank(df, keys, key, seed).join(checked_broadcast(offsets, MAX_ALLOCATION_ROWS), cond)
+    keyed = with_hash(df, key, seed)
+    counts = cell_counts(keyed, keys)
+    offsets, cond = _group_offsets(counts, keys)
+    j = cell_rank(keyed, counts, keys, key).join(checked_broadcast(offsets, MAX_ALLOCATION_ROWS), cond)
     return j.withColumn("fold", F.pmod(F.col("_off") + F.col("_r") - 1, F.lit(k)).cast("int")).drop(
         "_r", "_off", *[f"_a{i}" for i in range(len(keys))])
 
 
+def _group_offsets(counts: DataFrame, keys: list[str]) -> tuple[DataFrame, list[Column]]:
+    """Rows of earlier groups, by group, and the join conditions."""
+    sizes = counts.groupBy(*keys).agg(F.sum("_in").alias("_n"))
+    before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)  # one row a group
+    return renamed(sizes.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))), keys, "_off")
+
+
 def folds_random(df: DataFrame, k: int, key: str = "row_id", seed: int = SEED,
                  groups: list[str] | None = None) -> DataFrame:
     """Shuffled folds of sizes within one of each other."""
+    keyed = with_hash(df, key, seed)
+    counts = cell_counts(keyed, groups or [])
     if groups:
-        sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
-        before = Window.orderBy(*groups).rowsBetween(Window.unboundedPreceding, -1)  # one row a group
-        offsets, cond = renamed(sizes.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))), groups, "_off")
-        j = cell_rank(df, groups, key, seed).join(checked_broadcast(offsets, MAX_ALLOCATION_ROWS), cond)
+        offsets, cond = _group_offsets(counts, groups)
+        j = cell_rank(keyed, counts, groups, key).join(checked_broadcast(offsets, MAX_ALLOCATION_ROWS), cond)
     else:
-        j = cell_rank(df, [], key, seed).withColumn("_off", F.lit(0))
+        j = cell_rank(keyed, counts, [], key).withColumn("_off", F.lit(0))
     return j.withColumn("fold", F.pmod(F.col("_off") + F.col("_r") - 1, F.lit(k)).cast("int")).drop(
         "_r", "_off", *[f"_a{i}" for i in range(len(groups or []))])
 
@@ -180,11 +192,13 @@ def split_with_folds(df: DataFrame, k: int, label: str = "label", key: str = "ro
     """
     groups = groups or []
     keys = groups + [label]
-    alloc = class_allocation(df, label, test_share, groups)
+    keyed = with_hash(df, key, seed)
+    counts = cell_counts(keyed, keys)
+    alloc = class_allocation(counts, label, test_share, groups, "_in")
     before = Window.orderBy(*[F.col(c) for c in keys]).rowsBetween(Window.unboundedPreceding, -1)
     alloc = alloc.withColumn("_off", F.coalesce(F.sum("n_train_class").over(before), F.lit(0)))
     alloc, cond = renamed(alloc, keys, "n_train_class", "_off")
-    j = cell_rank(df, keys, key, seed).join(checked_broadcast(alloc, MAX_ALLOCATION_ROWS), cond)
+    j = cell_rank(keyed, counts, keys, key).join(checked_broadcast(alloc, MAX_ALLOCATION_ROWS), cond)
     train = F.col("_r") <= F.col("n_train_class")
     return (j.withColumn("split", F.when(train, F.lit("train")).otherwise(F.lit("test")))
             .withColumn("fold", F.when(train, F.pmod(F.col("_off") + F.col("_r") - 1, F.lit(k))).cast("int"))
@@ -194,8 +208,10 @@ def split_with_folds(df: DataFrame, k: int, label: str = "label", key: str = "ro
 def split_with_random_folds(df: DataFrame, k: int, key: str = "row_id", test_share: float = TEST_SHARE,
                             seed: int = SEED) -> DataFrame:
     """X2 + X4 in one numbering: train rows are hash positions 1..n_train, fold = (position - 1) mod k."""
-    total = df.agg(train_rows(F.count(F.lit(1)), test_share).alias("_t"))  # one row
-    j = cell_rank(df, [], key, seed, "_p").join(F.broadcast(total), F.lit(True))
+    keyed = with_hash(df, key, seed)
+    counts = cell_counts(keyed, [])
+    total = counts.agg(train_rows(F.coalesce(F.sum("_in"), F.lit(0)), test_share).alias("_t"))  # one row
+    j = cell_rank(keyed, counts, [], key, "_p").join(F.broadcast(total), F.lit(True))
     train = F.col("_p") <= F.col("_t")
     return (j.withColumn("split", F.when(train, F.lit("train")).otherwise(F.lit("test")))
             .withColumn("fold", F.when(train, F.pmod(F.col("_p") - 1, F.lit(k))).cast("int"))

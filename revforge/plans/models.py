@@ -92,6 +92,17 @@ def scored_parts(rows: DataFrame, tf: DataFrame, folds: int) -> DataFrame:
                        .select("grp", "uid", "model", "split", "truth", "pred"))
 
 
+def scored_datasets(rows: DataFrame, tf: DataFrame, folds: int) -> DataFrame:
+    """``scored_parts`` of stacked datasets. Groups of one dataset (its variants) share texts and are scored together; the
+    datasets (a few) follow one another, as all their classes and folds at once would be hundreds of columns."""
+    datasets = sorted({r["grp"].split("|")[0] for r in rows.select("grp").distinct().collect()})
+    out = None
+    for d in datasets:
+        part = scored_parts(rows.filter(F.col("grp").startswith(f"{d}|")), tf, folds)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def chosen_model(rows: DataFrame, scores: DataFrame, metric: str) -> DataFrame:
     """The one-row table of the best fold's model (``ALL`` if every score is 0)."""
     best = metrics.best_by(scores, metric, key="model").select("model")
@@ -203,7 +214,7 @@ def q_hp_search(spark, root):
 def q_run_matrix(spark, root):
     rows, texts = matrix_problem(spark, root, FOLDS)
     tf = _tf(texts)
-    scored = scored_parts(rows, tf, FOLDS)
+    scored = scored_datasets(rows, tf, FOLDS)
     acc = metrics.accuracy(scored.filter(F.col("split") == "train"), "truth", "pred", by=["grp", "model"])
     best = acc.filter(F.col("accuracy") > 0).groupBy("grp").agg(
         F.min(F.struct((-F.col("accuracy")).alias("neg"), F.col("model").alias("m"))).alias("b")
