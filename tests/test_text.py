@@ -63,3 +63,36 @@ def test_vocab_fit_ties_by_term(spark):
     got = [(r.word, r.token_id) for r in textops.vocab_fit(toks, 2).orderBy("token_id").collect()]
     assert got == [("a", 4), ("b", 5)]
     assert F is not None
+
+
+def test_mapped_lists_equal_mapped_tokens(spark):
+    """Lists meet their mapping by blocks of distinct terms: the rows of ``map_terms``, lists of one (or no) key merged."""
+    texts = [(i, " ".join(f"w{(i * k) % 41}s Boxes the" for k in range(i % 5))) for i in range(60)]
+    texts += [(7, "apps w3s the"), (None, "men the"), (None, "a b c"), (99, ""), (98, None)]
+    docs = spark.createDataFrame(texts, "row_id long, review string")
+    toks = textops.token_table(docs)
+    mapping = textops.stem_vocabulary(toks).filter("term <> 'w3s'")  # a term without a value stays as it is
+    lists = textops.token_lists(docs)
+    got = textops.map_token_lists(lists, mapping, "stem")
+    assert sorted(got.collect(), key=str) == sorted(textops.map_terms(toks, mapping, "stem").collect(), key=str)
+
+
+def test_mapped_lists_shuffle_no_token(spark):
+    """Only whole lists and distinct terms of blocks are exchanged: no exchange has a position."""
+    lists = textops.token_lists(spark.createDataFrame([(1, "a b a")], "row_id long, review string"))
+    plan = textops.map_token_lists(lists, textops.stem_vocabulary(textops.listed_terms(lists)), "stem")._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "posexplode" not in plan and "collect_list" not in plan
+
+
+def test_keyed_layout_has_parts_of_one_size(spark, monkeypatch):
+    """A larger input gets more parts, not larger ones; the aggregate by text and term adds no exchange."""
+    from revforge.operators import layout, nb
+    docs = spark.createDataFrame([(1, "a b a"), (2, "c")], "uid long, review string")
+    cores = spark.sparkContext.defaultParallelism
+    sizes = []
+    for mb in (1, 100, 1000):
+        monkeypatch.setattr(layout, "input_bytes", lambda df, mb=mb: mb << 20)
+        sizes.append(layout.by_key(docs, "uid").rdd.getNumPartitions())
+    assert sizes == [cores, max(cores, 13), 125]
+    plan = nb.term_frequencies(textops.token_table(docs, key="uid", keyed=True))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
