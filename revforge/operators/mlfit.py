@@ -18,22 +18,31 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 # Width of the hashed term counts: every term of every text is counted, whatever the vocabulary's size.
 FEATURES = 1 << 18
 
 
-def tfidf_lr(reg: float = 0.1, max_iter: int = 50) -> Pipeline:
+def hashed(df: DataFrame) -> DataFrame:
+    """``df`` with its ``tokens`` as hashed term counts ``tf``, written: every fit of every fold and setting reads
+    these (two numbers a distinct term) and neither hashes nor caches the words again."""
     tf = HashingTF(inputCol="tokens", outputCol="tf", numFeatures=FEATURES)
+    return materialize(tf.transform(df).drop("tokens"))
+
+
+def tfidf_lr(reg: float = 0.1, max_iter: int = 50) -> Pipeline:
+    """On the column ``tf`` of ``hashed``."""
     idf = IDF(inputCol="tf", outputCol="features")
     lr = LogisticRegression(featuresCol="features", labelCol="label_code", regParam=reg, maxIter=max_iter)
-    return Pipeline(stages=[tf, idf, lr])
+    return Pipeline(stages=[idf, lr])
 
 
 def cross_validated_lr(train: DataFrame, regs: list[float], max_iters: list[int], folds: int,
                        parallelism: int = 4):
     """Fit TF-IDF + logistic regression over a (regParam x maxIter) grid with the given fold column.
 
-    ``train`` needs ``tokens`` (array<string>), ``label_code`` (int) and ``fold`` (int)."""
+    ``train`` needs ``tf`` (``hashed``), ``label_code`` (int) and ``fold`` (int)."""
     pipe = tfidf_lr()
     lr = pipe.getStages()[-1]
     grid = ParamGridBuilder().addGrid(lr.regParam, regs).addGrid(lr.maxIter, max_iters).build()
