@@ -51,3 +51,27 @@ def test_predict_matches_brute_force(spark):
         train = [(cc, dd) for j, cc, dd in docs[:45] if j % 3 != i % 3]
         assert val[(i, i % 3)] == _brute(train, d, 1.0)
     assert F is not None
+
+
+def test_every_text_a_target_needs_no_exchange_of_terms(spark):
+    """Where each text of the terms is a target, the result is the same without the join that finds them."""
+    from revforge.plans.models import of_dataset
+    rows = spark.createDataFrame([("a|x", f"a:{i}", i % 2, "train" if i < 9 else "test", i % 2 if i < 9 else None) for i in range(12)],
+                                 "grp string, uid string, class int, split string, fold int")
+    terms = [(f"a:{i}", f"t{k}", 1 + (i * k) % 3) for i in range(12) for k in range(i % 4, 6)] + [("a", "t1", 1), ("ab:1", "t1", 9), ("b", "t2", 1)]
+    tf = spark.createDataFrame(terms, "uid string, term string, tf long")
+    own = of_dataset(tf, "a")
+    assert {r.uid for r in own.collect()} == {"a", *(f"a:{i}" for i in range(12))}  # a text without a row id is named by its dataset alone
+    model, targets = nb.fit(rows, own, [nb.ALL, 0, 1]), nb.all_targets(rows, [nb.ALL, 0, 1])
+    got = nb.predict(model, targets, own, every=True)
+    assert sorted(got.collect(), key=str) == sorted(nb.predict(model, targets, tf).collect(), key=str)
+    assert "LeftSemi" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_cross_validation_reads_hashed_counts(spark):
+    """The words are hashed once, in front of the folds; no fit has them."""
+    from revforge.operators import mlfit
+    df = spark.createDataFrame([(1, ["a", "b", "a"]), (2, [])], "row_id long, tokens array<string>")
+    got = mlfit.hashed(df)
+    assert got.columns == ["row_id", "tf"] and sorted(sum(r.tf.values) for r in got.collect()) == [0.0, 3.0]
+    assert [type(s).__name__ for s in mlfit.tfidf_lr().getStages()] == ["IDF", "LogisticRegression"]
