@@ -9,7 +9,7 @@ from ..functions.constants import LABEL_CODES, REPORT_ORDER
 from ..operators import metrics, search, softmax
 from ..session import materialize
 from .common import normalise
-from .models import FLAGS, FOLDS, ML_FOLDS, flag_problem, pair_problem
+from .models import FLAGS, FOLDS, ML_FOLDS, flag_texts, pair_texts
 
 REPORT_CLASSES = [(LABEL_CODES[n], n) for n in REPORT_ORDER]
 # ---- fixed values: settings of the cross-validated runs (rate, decay, epochs, train and evaluation batch) ----
@@ -18,16 +18,16 @@ MULTILABEL = softmax.Candidate(3e-5, 0.1, 5, 16, 64)
 
 
 def _pairs(spark: SparkSession, root: str) -> DataFrame:
-    rows, tf = pair_problem(spark, root)
-    return softmax.pack_shards(rows.select("uid", F.array("class").alias("labels"), "fold"), softmax.term_features(tf))
+    rows, texts = pair_texts(spark, root)
+    return softmax.pack_shards(rows.select("uid", F.array("class").alias("labels"), "fold"), softmax.text_features(texts))
 
 
 def _flags(spark: SparkSession, root: str) -> DataFrame:
-    """One row a text with its four flags: the text's terms are read once for all flags."""
-    rows, tf = flag_problem(spark, root)
+    """One row a text with its four flags: the text's terms are taken once for all flags."""
+    rows, texts = flag_texts(spark, root)
     wide = rows.groupBy("uid").agg(F.first("fold", ignorenulls=True).alias("fold"), *[
         F.max(F.when(F.col("grp") == f"flag{j}", F.col("class"))).alias(f"f{j}") for j in range(len(FLAGS))])
-    return softmax.pack_shards(wide.select("uid", F.array(*[f"f{j}" for j in range(len(FLAGS))]).alias("labels"), "fold"), softmax.term_features(tf))
+    return softmax.pack_shards(wide.select("uid", F.array(*[f"f{j}" for j in range(len(FLAGS))]).alias("labels"), "fold"), softmax.text_features(texts))
 
 
 def _report(preds: DataFrame, by: str) -> DataFrame:
